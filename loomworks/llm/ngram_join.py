@@ -40,9 +40,11 @@ HOT = 500
 #: n-grams in a fragment's task; n-grams on each side of a block's task.
 FRAGMENT, BLOCK, CHUNK = 4_000_000, 100_000, 500_000
 PARTS = 8
+#: Bytes of text that leave a scan together.
+SLICE = 3 << 20
 #: What is in fewer texts is never hot; a node counts as this many n-grams at least, so that a task's pairs are bounded.
 HEAVY, LIGHT = 1_000, 200
-_HOT_DF = 0xFFFFFFFF
+_HOT_DF = 0xFFFF  # frequencies count up to one less
 
 
 def _profile(batches, k: int):
@@ -86,15 +88,15 @@ _SHARED = pa.schema([("node", pa.binary()), ("hot", pa.bool_()), ("shared", pa.i
 def _send(batches, k: int, fragments: int, hot_tokens: np.ndarray, hot_nodes: np.ndarray, hot_ids: np.ndarray):
     """hot_nodes: sorted names; hot_ids: the doc_id that alone sends each of them."""
     for batch in batches:
-        values, names, sizes = [], [], []
-        for a, b in W.slices(batch["text"]):
-            value, bounds = W.shingle_sets(batch["text"].slice(a, b - a), k)
-            values.append(value)
-            names.append(W.set_names(value, bounds))
-            sizes.append(np.diff(bounds))
-        if not values:
-            continue
-        value, name, size = np.concatenate(values), np.concatenate(names), np.concatenate(sizes)
+        for a, b in W.slices(batch["text"], SLICE):
+            part = batch.slice(a, b - a)
+            value, bounds = W.shingle_sets(part["text"], k)
+            yield from _packed(value, np.diff(bounds), W.set_names(value, bounds), part["doc_id"], fragments, hot_tokens, hot_nodes, hot_ids)
+
+
+def _packed(value, size, name, doc_id, fragments, hot_tokens, hot_nodes, hot_ids):
+    """A row per fragment for the sets of some texts; of equal sets one goes."""
+    if len(value):
         key = np.ascontiguousarray(name).view("V16").ravel()
         _, first = np.unique(key, return_index=True)
         sends = np.zeros(len(size), bool)
@@ -102,11 +104,11 @@ def _send(batches, k: int, fragments: int, hot_tokens: np.ndarray, hot_nodes: np
         sends &= size > 0
         if len(hot_nodes):
             at = np.minimum(np.searchsorted(hot_nodes, name[:, 0]), len(hot_nodes) - 1)
-            ids = batch["doc_id"].fill_null(-1).to_numpy(zero_copy_only=False)
+            ids = doc_id.fill_null(-1).to_numpy(zero_copy_only=False)
             is_hot = (hot_nodes[at] == name[:, 0]) & (size > 0)
             sends = np.where(is_hot, hot_ids[at] == ids, sends)
         keep = np.repeat(sends, size)
-        text, value = np.repeat(np.arange(len(size)), size)[keep], value[keep]
+        text, value = np.repeat(np.arange(len(size), dtype=np.int32), size)[keep], value[keep]
         is_hot = np.isin(value, hot_tokens) if len(hot_tokens) else np.zeros(len(value), bool)
         for hot in (False, True):
             v, t = value[is_hot == hot], text[is_hot == hot]
@@ -132,14 +134,15 @@ def _meet(sent: pa.Table) -> pa.Table:
         nodes = W.flat(rows["nodes"], np.uint64)[0].reshape(-1, 2)
         counts, value = W.flat(rows["counts"], np.uint32)[0].astype(np.int64), W.flat(rows["tokens"], np.uint64)[0]
         names, node = np.unique(np.ascontiguousarray(nodes).view("V16").ravel(), return_inverse=True)
-        node = np.repeat(node.ravel(), counts)
-        order = np.argsort(value, kind="stable")
-        value, node = value[order], node[order]
+        node = np.repeat(node.ravel().astype(np.int32), counts)
         if not hot and len(value):
-            head = np.concatenate([[True], value[1:] != value[:-1]])
-            size = np.diff(np.append(np.flatnonzero(head), len(value)))
-            keep = np.repeat(size > 1, size)
-            value, node = value[keep], node[keep]
+            order = np.argsort(value)
+            value = value[order]
+            keep = np.zeros(len(value), bool)  # beside an equal n-gram
+            keep[1:] = value[1:] == value[:-1]
+            keep[:-1] |= keep[1:]
+            value, node = value[keep], node[order[keep]]
+            del order
         order = np.lexsort((node, value))
         value, node = value[order], node[order]
         if len(value):
@@ -151,7 +154,7 @@ def _meet(sent: pa.Table) -> pa.Table:
             if hot:
                 df = np.full(len(value), _HOT_DF)
             keep = df > 1
-            value, node, df = value[keep], node[keep], df[keep].astype(np.uint32)
+            value, node, df = value[keep], node[keep], np.minimum(df[keep], _HOT_DF if hot else _HOT_DF - 1).astype(np.uint16)
         if not len(value):
             continue
         order = np.argsort(node, kind="stable")
@@ -182,7 +185,7 @@ def _order(batches, percent: int):
         rows = []
         for r in batch.to_pylist():
             value = np.frombuffer(b"".join(r["tokens"]), np.uint64)
-            order = np.lexsort((value, np.frombuffer(b"".join(r["dfs"]), np.uint32)))
+            order = np.lexsort((value, np.frombuffer(b"".join(r["dfs"]), np.uint16)))
             value = value[order].view(np.int64)
             lone = r["n"] - len(value)
             prefix = r["n"] - -(-percent * r["n"] // 100) + 1 - lone
@@ -216,10 +219,14 @@ def _star_links(nodes: DataFrame, postings: DataFrame, percent: int) -> tuple[Da
     votes = postings.join(centre, "token").groupBy("node", "n", "centre", "cn").count()
     best = votes.groupBy("node").agg(F.max(F.when((F.col("node") != F.col("centre")) & _near("n", "cn", percent), F.struct("count", "centre"))).alias("b"), F.max(F.struct("count", "centre")).alias("h"))
     best = table(best.select("node", F.col("b.centre").alias("centre"), F.col("h.centre").alias("home")), "stars")
-    a, b = nodes.select("node", "n", "tokens"), nodes.select(F.col("node").alias("centre"), F.col("n").alias("cn"), F.col("tokens").alias("ct"))
-    both = best.where("centre is not null").join(a, "node").join(b, "centre")
-    same = F.size(F.array_intersect("tokens", "ct"))
-    links = both.where(same * (100 + percent) >= (F.col("n") + F.col("cn")) * percent).select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    pairs = best.where("centre is not null").select("node", "centre")
+    full = nodes.select("node", "n", "tokens")
+    weight = nodes.select("node", F.greatest(F.col("n") - F.col("lone"), F.lit(LIGHT)).alias("grams"))
+    chunks = pairs.join(weight, "node").groupBy("centre").agg(F.ceil(F.sum("grams") / CHUNK).alias("chunks"))
+    ys = pairs.join(chunks, "centre").select("centre", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), "node", F.concat(F.unhex(F.lit("01")), F.col("node")).alias("rank"))
+    xs = chunks.select("centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.col("centre").alias("node"), F.unhex(F.lit("00")).alias("rank"))
+    sides = xs.withColumn("is_x", F.lit(True)).unionByName(ys.withColumn("is_x", F.lit(False))).join(full, "node")
+    links = sides.groupBy("centre", "chunk").applyInArrow(lambda t: _verify(t.filter(t["is_x"]), t.filter(pa.compute.invert(t["is_x"])), percent), "a binary, b binary")
     return table(links, "links"), best.select("node", "home")
 
 
