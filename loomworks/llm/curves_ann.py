@@ -23,6 +23,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _words as W
 from . import vectors as V
 from ._store import buckets_for, table
 
@@ -169,6 +170,6 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, seed: int = 10, win
     first = keyed.where("curve = 0").select("key", "vec_id", "embedding")
     first = first.repartitionByRange(buckets_for(count, PART), "key", "vec_id").sortWithinPartitions("key", "vec_id").select("vec_id", "embedding")
     runs = first.mapInArrow(_runs, "run long, vec_id long, embedding array<double>")
-    swept = V.units(asked, runs.withColumn("blocks", V.all_blocks(asking)), ["run"]).groupBy("block", "run").applyInArrow(lambda t: _sweep(t, k), _SQL)
+    swept = V.units(asked, runs.withColumn("blocks", V.all_blocks(asking)), ["run"]).groupBy("block", "run").applyInArrow(W.grouped(lambda t: _sweep(t, k)), _SQL)
     both = found.select("query_id", "query", "vec_id", "score").unionByName(swept)
     return V.best(both.distinct(), k).select("query_id", "rank", "vec_id", "score")

@@ -26,6 +26,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _words as W
 from . import vectors as V
 from ._store import table
 
@@ -101,7 +102,7 @@ def exact_topk(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256
     first = (F.col("grid") == top["grid"]) & (F.col("chunk") == 0)
     columns = ["vec_id", "embedding", "grid", "chunk"]
     head = V.units(asked.drop("norm"), items.where(first).select(*columns, V.all_blocks(count).alias("blocks")), ["grid", "chunk"]).withColumn("bound", F.lit(None).cast("long"))
-    head = table(head.groupBy("block", "grid", "chunk").applyInArrow(lambda t: _unit(t, k), _SQL), "first")
+    head = table(head.groupBy("block", "grid", "chunk").applyInArrow(W.grouped(lambda t: _unit(t, k)), _SQL), "first")
     bound = head.groupBy("query_id", "query").agg(F.when(F.count("*") >= k, F.min("score")).alias("bound"))
     bound = bound.select(F.col("query_id").alias("vec_id"), "query", "bound")
     asked = table(asked.join(bound, ["vec_id", "query"], "left"), "asked")
@@ -109,7 +110,7 @@ def exact_topk(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256
     least = asked.groupBy("block").agg(F.min(F.coalesce("bound", F.lit(-(1 << 62)))).alias("least"), F.max("norm").alias("far"))
     met = grid.join(least, F.col("most") * F.col("far") * (1 + 1e-9) >= F.col("least")).groupBy("grid").agg(F.collect_set("block").alias("blocks"))
     rest = items.where(~first).select(*columns).join(met, "grid")
-    tail = V.units(asked.drop("norm"), rest, ["grid", "chunk"]).groupBy("block", "grid", "chunk").applyInArrow(lambda t: _unit(t, k), _SQL)
+    tail = V.units(asked.drop("norm"), rest, ["grid", "chunk"]).groupBy("block", "grid", "chunk").applyInArrow(W.grouped(lambda t: _unit(t, k)), _SQL)
     return V.best(head.unionByName(tail), k).select("query_id", "rank", "vec_id", "score")
 
 

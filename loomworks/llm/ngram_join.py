@@ -41,7 +41,7 @@ HOT = 500
 FRAGMENT, BLOCK, CHUNK = 4_000_000, 100_000, 500_000
 PARTS = 8
 #: Bytes of text that leave a scan together.
-SLICE = 3 << 20
+SLICE = 2 << 20
 #: What is in fewer texts is never hot; a node counts as this many n-grams at least, so that a task's pairs are bounded.
 HEAVY, LIGHT = 1_000, 200
 _HOT_DF = 0xFFFF  # frequencies count up to one less
@@ -175,7 +175,7 @@ def _fragments(docs: DataFrame, k: int, profiles: DataFrame) -> DataFrame:
     copied = sorted((np.frombuffer(r[0], np.uint64)[0], r[2]) for r in copied.collect())
     hot_nodes, hot_ids = np.array([x[0] for x in copied], np.uint64), np.array([x[1] for x in copied], np.int64)
     sent = docs.select("doc_id", "text").mapInArrow(lambda it: _send(it, k, fragments, hot_tokens, hot_nodes, hot_ids), "fragment int, hot boolean, nodes binary, counts binary, tokens binary")
-    return sent.groupBy("fragment").applyInArrow(lambda t: _meet(t), "node binary, hot boolean, shared long, tokens binary, dfs binary")
+    return sent.groupBy("fragment").applyInArrow(W.grouped(lambda t: _meet(t)), "node binary, hot boolean, shared long, tokens binary, dfs binary")
 
 
 def _order(batches, percent: int):
@@ -226,7 +226,7 @@ def _star_links(nodes: DataFrame, postings: DataFrame, percent: int) -> tuple[Da
     ys = pairs.join(chunks, "centre").select("centre", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), "node", F.concat(F.unhex(F.lit("01")), F.col("node")).alias("rank"))
     xs = chunks.select("centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.col("centre").alias("node"), F.unhex(F.lit("00")).alias("rank"))
     sides = xs.withColumn("is_x", F.lit(True)).unionByName(ys.withColumn("is_x", F.lit(False))).join(full, "node")
-    links = sides.groupBy("centre", "chunk").applyInArrow(lambda t: _verify(t.filter(t["is_x"]), t.filter(pa.compute.invert(t["is_x"])), percent), "a binary, b binary")
+    links = sides.groupBy("centre", "chunk").applyInArrow(W.grouped(lambda t: _verify(t.filter(t["is_x"]), t.filter(pa.compute.invert(t["is_x"])), percent)), "a binary, b binary")
     return table(links, "links"), best.select("node", "home")
 
 
@@ -329,7 +329,7 @@ def _block_links(nodes: DataFrame, postings: DataFrame, home: DataFrame, labels:
     right = y.join(chunks, "block").select("node", "block", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk")).join(full, "node")
     unit = [F.col("block.home").alias("home"), F.col("block.i").alias("i"), "chunk", "node", "n", "rank", "tokens"]
     sides = left.select(*unit, F.lit(True).alias("is_x")).unionByName(right.select(*unit, F.lit(False).alias("is_x"))).withColumn("rank", _flat_rank())
-    return sides.groupBy("home", "i", "chunk").applyInArrow(lambda t: _verify(t.filter(t["is_x"]), t.filter(pa.compute.invert(t["is_x"])), percent), "a binary, b binary")
+    return sides.groupBy("home", "i", "chunk").applyInArrow(W.grouped(lambda t: _verify(t.filter(t["is_x"]), t.filter(pa.compute.invert(t["is_x"])), percent)), "a binary, b binary")
 
 
 def _flat_rank():

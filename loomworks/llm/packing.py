@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import bucket_of, buckets_for, ranked, table
+from . import _words as W
+from ._store import buckets_for, ranked, table
 
 CAPACITY = 1024
 ROWS = 50_000
@@ -38,11 +39,9 @@ class Encoder:
     """ids as `tokenizers` gives them.  Latin texts go through the faster library with the same vocabulary and merges."""
 
     def __init__(self, path: str, ranks: str | None, pattern: str | None):
-        from tokenizers import Tokenizer
-
-        self.exact = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.exact.get_added_tokens_decoder().values()]
-        self.fast = None
+        self.path, self.exact, self.fast = path, None, None
+        with open(path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f).get("added_tokens", [])]
         if ranks:
             import tiktoken
 
@@ -52,6 +51,10 @@ class Encoder:
 
     def __call__(self, text: str) -> list[int]:
         if self.fast is None or not text or any(s in text for s in self.special) or max(text) > chr(_LAST_LATIN):
+            if self.exact is None:
+                from tokenizers import Tokenizer
+
+                self.exact = Tokenizer.from_file(self.path)
             return self.exact.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
@@ -78,8 +81,9 @@ def _tokenize(batches, files: tuple, capacity: int, with_ids: bool):
                     rows[name].append(x)
                 if with_ids:
                     rows["ids"].append(piece.astype(np.int32))
-            if len(rows["start"]) >= 20_000:
+            if len(rows["start"]) >= 10_000:
                 yield flush()
+        W.release()
     yield flush()
 
 

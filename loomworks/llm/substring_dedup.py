@@ -242,11 +242,11 @@ def repeated_windows(docs: DataFrame, k: int = 8, length: int = 20) -> DataFrame
     letters = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     fragments = max(12, buckets_for(letters // 40, FRAGMENT))
     seeds = docs.mapInArrow(lambda it: _seeds(it, k, length, fragments), "fragment int, ids binary, hashes binary, counts binary, anchors binary, common binary")
-    shared = seeds.groupBy("fragment").applyInArrow(lambda t: _shared(t), "doc_id long, text_hash long, anchors binary")
+    shared = seeds.groupBy("fragment").applyInArrow(W.grouped(lambda t: _shared(t)), "doc_id long, text_hash long, anchors binary")
     shared = table(shared, "anchors", "lz4").groupBy("doc_id", "text_hash").agg(F.collect_list("anchors").alias("anchors"))
     near = _by_text(docs, shared, "anchors", "inner").select("doc_id", "text_hash", "text", "anchors")
     spans = near.mapInArrow(lambda it: _extend(it, k, length, fragments), "fragment int, ids binary, hashes binary, windows binary, starts binary")
-    gone = spans.groupBy("fragment").applyInArrow(lambda t: _repeats(t), "doc_id long, text_hash long, starts binary")
+    gone = spans.groupBy("fragment").applyInArrow(W.grouped(lambda t: _repeats(t)), "doc_id long, text_hash long, starts binary")
     gone = table(gone, "repeats", "lz4").groupBy("doc_id", "text_hash").agg(F.collect_list("starts").alias("starts"))
     return _by_text(docs, gone, "starts", "left")
 
