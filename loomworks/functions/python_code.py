@@ -6,6 +6,7 @@ import ast
 
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 _BAD = (SyntaxError, ValueError, RecursionError, MemoryError)
 
@@ -56,13 +57,13 @@ def _body(rows: list[str], found: ast.FunctionDef) -> str | None:
     return "\n".join(shifted).rstrip()
 
 
-@F.arrow_udf("boolean")
+@F.arrow_udf(BooleanType())
 def syntax_valid(code: pa.Array) -> pa.Array:
     """FLT13: the code parses."""
     return pa.array([parses(x) for x in code.to_pylist()], pa.bool_())
 
 
-@F.arrow_udf("struct<signature:string,body:string>")
+@F.arrow_udf(StructType([StructField("signature", StringType()), StructField("body", StringType())]))
 def split_function(code: pa.Array) -> pa.Array:
     """FN18 and FN19: signature and body."""
     rows = [signature_and_body(x) for x in code.to_pylist()]
