@@ -57,3 +57,13 @@ def ranked(df: DataFrame, groups: list[str], key: str, ties: list[str], buckets:
     offsets = cut.groupBy(*groups, "_range").count().select(*groups, "_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
     within = Window.partitionBy(*groups, "_range").orderBy(key, *ties)
     return cut.join(offsets, [*groups, "_range"]).withColumn(to, F.row_number().over(within).cast("long") - 1 + F.col("_offset")).drop("_range", "_offset")
+
+
+def hidden(df: DataFrame, *shown: str) -> DataFrame:
+    """df with its columns under neutral names, and `shown` beside them: nothing that is added can clash with a column."""
+    return df.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(df.columns)], *shown)
+
+
+def restored(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The hidden columns under their own names again, those in `changed` with new values."""
+    return df.select(*[changed.get(c, F.col(f"_c{i}")).alias(c) for i, c in enumerate(columns)])

@@ -20,9 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import buckets_for, table
+from ._store import buckets_for, hidden, restored, table
 
-ROWS = 50_000
+#: Rows of a range, about.
+ROWS = 5_000
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -83,14 +84,16 @@ def first_words(text: Column, n: Column) -> Column:
 
 def take_mix(docs: DataFrame, seed: int = 5) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each epoch of a document; the one at a budget's end is cut there."""
-    mixed = mix_documents(docs.drop("size", "source_size", "target", "taken"), "text", seed).where("taken > 0")
+    mixed = mix_documents(hidden(docs, "doc_id", "source", "text"), "text", seed).where("taken > 0")
     part = F.col("taken") % F.col("size")
     whole = F.array_repeat(F.lit(0).cast("long"), F.floor(F.col("taken") / F.col("size")).cast("int"))
     copies = mixed.withColumn("_part", F.explode(F.concat(whole, F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))))
     cut = copies.withColumn("text", F.when(F.col("_part") > 0, first_words(F.col("text"), F.col("_part"))).otherwise(F.col("text")))
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("_part") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+        own = F.col(f"_c{docs.columns.index('n_chars')}")
+        changed["n_chars"] = F.when(F.col("_part") > 0, F.length("text").cast("long")).otherwise(own)
+    return restored(cut, docs.columns, **changed)
 
 
 MIX_SQL = r"""

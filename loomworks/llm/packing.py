@@ -30,7 +30,7 @@ from . import _words as W
 from ._store import buckets_for, ranked, table
 
 CAPACITY = 1024
-ROWS = 50_000
+ROWS = 5_000
 END = 0
 _LAST_LATIN = 0x24F
 

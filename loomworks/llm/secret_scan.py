@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import table
+from ._store import hidden, restored, table
 
 # The patterns of the base kinds.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -76,7 +76,8 @@ def _joined(spans: Column) -> Column:
 
 def judged(rows: DataFrame, copied: DataFrame, repo: str) -> DataFrame:
     """rows (with found) and spans: base spans, and generic ones that aren't copied, each with a field `copied`."""
-    rows = rows.join(copied.withColumnRenamed("repo", "_repo"), F.col(repo).eqNullSafe(F.col("_repo")), "left").drop("_repo")
+    copied = copied.withColumnRenamed("repo", "_repo")
+    rows = rows.join(copied, F.col(repo).eqNullSafe(F.col("_repo")), "left").drop("_repo")
     copied = F.coalesce("copied", F.array().cast("array<string>"))
     spans = F.transform("found", lambda x: x.withField("copied", F.array_contains(copied, _hash(x["value"]))))
     return rows.withColumn("spans", F.filter(spans, lambda x: (x["ord"] < 3) | ~x["copied"])).drop("copied")
@@ -95,8 +96,9 @@ def scan_documents(docs: DataFrame, repo: str = "doc_id", owner: str = "source")
 
 def redact(docs: DataFrame, repo: str = "doc_id", owner: str = "source") -> DataFrame:
     """docs with each span replaced: <secret> where it may be live, <example> where it is widely copied."""
-    rows = docs.withColumn("found", find_spans(F.col("text")))
-    out = judged(rows, copied_values(rows.select(*dict.fromkeys([repo, owner]), "found"), repo, owner), repo)
+    packed = hidden(docs, F.col(repo).alias("repo"), F.col(owner).alias("owner"), "text")
+    rows = packed.withColumn("found", find_spans(F.col("text")))
+    out = judged(rows, copied_values(rows, "repo", "owner"), "repo")
 
     def step(done: Column, x: Column) -> Column:
         start = F.greatest(x["start"], done["at"])
@@ -105,10 +107,13 @@ def redact(docs: DataFrame, repo: str = "doc_id", owner: str = "source") -> Data
 
     run = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step)
     clean = F.concat(run["out"], F.substring(F.col("text"), (run["at"] + 1).cast("int"), F.length("text")))
-    out = out.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text")))
+    hit = F.size("spans") > 0
+    out = out.withColumn("text", F.when(hit, clean).otherwise(F.col("text")))
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        own = F.col(f"_c{docs.columns.index('n_chars')}")
+        changed["n_chars"] = F.when(hit, F.length("text").cast("long")).otherwise(own)
+    return restored(out, docs.columns, **changed)
 
 
 SCAN_SQL = r"""

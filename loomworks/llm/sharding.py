@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ._store import buckets_for, ranked, table
 
 #: Rows of a part, and of a range of a shard.
-ROWS = 50_000
+ROWS = 5_000
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
