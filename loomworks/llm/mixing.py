@@ -76,10 +76,14 @@ def document_mix(docs: DataFrame, seed: int = 5) -> DataFrame:
 
 
 def first_words(text: Column, n: Column) -> Column:
-    """The text up to the end of its n-th word."""
+    """The text up to the end of its n-th word, in time linear in the text: its pieces are split once and bound to a name."""
+
+    def cut(pieces: Column) -> Column:
+        upto = F.element_at(F.filter(F.sequence(F.lit(1), F.size(pieces)), lambda i: F.element_at(pieces, i) != ""), n.cast("int"))
+        return F.substring(text, F.lit(1), F.length(F.array_join(F.slice(pieces, F.lit(1), upto), " ")))
+
     pieces = F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " ", -1)
-    upto = F.element_at(F.filter(F.sequence(F.lit(1), F.size(pieces)), lambda i: F.element_at(pieces, i) != ""), n.cast("int"))
-    return F.substring(text, F.lit(1), F.length(F.array_join(F.slice(pieces, F.lit(1), upto), " ")))
+    return F.element_at(F.transform(F.array(pieces), cut), 1)
 
 
 def take_mix(docs: DataFrame, seed: int = 5) -> DataFrame:
