@@ -41,6 +41,11 @@ def buckets_for(rows: int, rows_per_bucket: int) -> int:
     return max(1, math.ceil(rows / rows_per_bucket))
 
 
+def even_cut(rows: int) -> int:
+    """As many parts as each has rows: the table of parts and a single part both grow with the square root of the rows."""
+    return max(1, math.isqrt(max(rows, 1) - 1) + 1)
+
+
 def bucket_of(key: Column, buckets: int) -> Column:
     """Equal ranges of a uniform signed 64-bit key, in its order."""
     return F.least(F.lit(buckets - 1), F.floor((F.shiftright(key, 33) + (1 << 30)) * buckets / (1 << 31)).cast("int"))

@@ -2,6 +2,7 @@
 
 Plan
 1. One map-side combined aggregation gives words per (source, range of the key); a document's key is a hash of its id.
+   There are as many ranges as a range has rows, so neither the ranges of a source nor the rows of one outgrow a task.
 2. Targets: water-filling over the sources (one row each): target = min(2 * size, level * weight), where `level` spends the
    budget.  That is the fixed point of sharing the excess anew by weight.
 3. Prefix sums of the ranges' words are offsets; within a range a window adds up the words in order of the key.  A source with
@@ -20,10 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import buckets_for, hidden, restored, table
+from ._store import even_cut, hidden, restored, table
 
-#: Rows of a range, about.
-ROWS = 5_000
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -50,7 +49,7 @@ def targets(sizes: DataFrame) -> DataFrame:
 def mix_documents(docs: DataFrame, text: str | None = "text", seed: int = 5) -> DataFrame:
     """Adds size, source_size, target and taken (words) to docs (doc_id, source, text and others, or size without text)."""
     rows = docs.count()
-    ranges = buckets_for(rows, ROWS)
+    ranges = even_cut(rows)
     sized = docs if text is None else docs.withColumn("size", words_in(F.col(text)))
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     keyed = sized.withColumns({"_key": digest, "_source": F.coalesce("source", F.lit("")), "_none": F.col("source").isNull()})
