@@ -27,10 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._store import buckets_for, ranked, table
+from ._store import even_cut, ranked, table
 
 CAPACITY = 1024
-ROWS = 5_000
 END = 0
 _LAST_LATIN = 0x24F
 
@@ -244,7 +243,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, ranks: str | N
     kind = "array<struct<length:bigint,first:bigint,last:bigint,each:bigint,sequence:bigint,at:bigint>>"
     ranges = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(place), kind)))
     ranges = ranges.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("first", "last", "each", "sequence", "at"))).alias("ranges"))
-    placed = ranked(pieces, ["length"], "key", ["doc_id", "start", "ids_crc32"], buckets_for(max(histogram.values(), default=0), ROWS), "rank").join(ranges, "length")
+    placed = ranked(pieces, ["length"], "key", ["doc_id", "start", "ids_crc32"], even_cut(max(histogram.values(), default=0)), "rank").join(ranges, "length")
     spot = F.element_at(F.filter("ranges", lambda r: (r["first"] <= F.col("rank")) & (F.col("rank") < r["last"])), 1)
     placed = placed.withColumn("_r", spot).withColumn("_n", F.col("rank") - F.col("_r.first"))
     sequence = F.col("_r.sequence") + F.floor(F.col("_n") / F.col("_r.each"))

@@ -189,6 +189,21 @@ def test_mixing(docs, empty):
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
+def test_first_words_of_long_texts(spark):
+    from loomworks.llm.mixing import first_words
+
+    long = " ".join(f"w{i}" for i in range(20_000))
+    rows = [(long, 19_000, long[: long.index(" w19000")]), ("\ta \x0b b\nc ", 2, "\ta \x0b b"), ("  x", 1, "  x"), ("é\u00a0é z", 1, "é\u00a0é")]
+    got = spark.createDataFrame(rows, "text string, n long, want string").select(first_words(F.col("text"), F.col("n")).alias("got"), "want").collect()
+    assert all(r.got == r.want for r in got)
+
+
+def test_even_cut():
+    from loomworks.llm._store import even_cut
+
+    assert [even_cut(n) for n in (0, 1, 2, 4, 5, 9, 10, 10**10)] == [1, 1, 2, 2, 3, 3, 4, 10**5]
+
+
 def test_secret_scan(docs, empty):
     got = {(r.doc_id, r.base_sha256): r for r in secret_scan.scan_documents(docs).collect()}
     for i, t, *_ in rows():
