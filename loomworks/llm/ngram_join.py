@@ -10,15 +10,16 @@ Plan
    out of the fragments (their frequency is known to be high), hot nodes are sent once.
 3. `_survivors`: a node's n-grams in global order (frequency, hash).  A pair at the threshold must share an n-gram within
    the first n - ceil(t*n) + 1 of both, so a node whose unshared n-grams fill that prefix has no partner.
-4. `_star_links`: each prefix n-gram proposes its most central node; each node is verified against the one that most
-   of its prefix n-grams propose.  This is linear, and makes components of groups of near copies.
-5. `_block_links`: every remaining pair that shares a prefix n-gram and is not yet in one component.  Nodes are cut into
-   blocks; a block meets, in chunks, the nodes that share a prefix n-gram with it.  Within a block the global order is cut
-   into fragments; partial overlaps are counted fragment by fragment, summed per pair, and a pair is left as soon as the
-   fragments to come can't lift it to the threshold.  Only links that join two components leave the task.
-6. Components of all links, by smallest name with pointer jumping.
+4. `_homes`: a prefix n-gram proposes its most central node; the one that most of a node's prefix n-grams propose is its
+   home, so near copies come to lie in the same blocks.
+5. `_block_links`: every pair of nodes that shares a prefix n-gram.  Nodes are cut into blocks; a block meets, in chunks, the
+   nodes of its own and of later blocks that share a prefix n-gram with it.  Within a block the global order is cut into
+   fragments; partial overlaps are counted fragment by fragment, summed per pair, and a pair is left as soon as the
+   fragments to come can't lift it to the threshold.  What leaves a task is a row per node: how many rows it links to
+   (copies counted), and the least node of its component within the task.
+6. Link counts are summed per node; components of all tasks' components, by smallest name with pointer jumping.
 
-No pair at or over the threshold is lost: each is verified in 4 or 5, or lies in a component already.
+Each pair at or over the threshold is verified in 5, in one task only.
 
 Defined results: null or empty texts, and texts without words, have an empty set, no link, and are their own component.
 Repeated rows are one node each and come out once per row.  A null doc_id counts only where its component has
@@ -44,6 +45,8 @@ PARTS = 8
 SLICE = 2 << 20
 #: What is in fewer texts is never hot; a node counts as this many n-grams at least, so that a task's pairs are bounded.
 HEAVY, LIGHT = 1_000, 200
+#: So many hits cost as much as one step of a product of matrices.
+DENSE = 100
 _HOT_DF = 0xFFFF  # frequencies count up to one less
 
 
@@ -208,26 +211,11 @@ def _survivors(docs: DataFrame, k: int, percent: int, profiles: DataFrame) -> Da
     return table(joined.mapInArrow(lambda it: _order(it, percent), "node binary, n long, lone long, tokens array<long>, prefix array<long>"), "survivors", "lz4")
 
 
-def _near(a: str, b: str, percent: int):
-    """Sizes that allow the threshold."""
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
-
-
-def _star_links(nodes: DataFrame, postings: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(links, home): the verified (a, b), and for each node the one most of its prefix n-grams propose."""
-    centre = postings.groupBy("token").agg(F.min(F.struct((F.col("lone") / F.col("n")).alias("odd"), F.col("node"), F.col("n"))).alias("c"), F.count("*").alias("m")).where("m > 1").select("token", F.col("c.node").alias("centre"), F.col("c.n").alias("cn"))
-    votes = postings.join(centre, "token").groupBy("node", "n", "centre", "cn").count()
-    best = votes.groupBy("node").agg(F.max(F.when((F.col("node") != F.col("centre")) & _near("n", "cn", percent), F.struct("count", "centre"))).alias("b"), F.max(F.struct("count", "centre")).alias("h"))
-    best = table(best.select("node", F.col("b.centre").alias("centre"), F.col("h.centre").alias("home")), "stars")
-    pairs = best.where("centre is not null").select("node", "centre")
-    full = nodes.select("node", "n", "tokens")
-    weight = nodes.select("node", F.greatest(F.col("n") - F.col("lone"), F.lit(LIGHT)).alias("grams"))
-    chunks = pairs.join(weight, "node").groupBy("centre").agg(F.ceil(F.sum("grams") / CHUNK).alias("chunks"))
-    ys = pairs.join(chunks, "centre").select("centre", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), "node", F.concat(F.unhex(F.lit("01")), F.col("node")).alias("rank"))
-    xs = chunks.select("centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.col("centre").alias("node"), F.unhex(F.lit("00")).alias("rank"))
-    sides = xs.withColumn("is_x", F.lit(True)).unionByName(ys.withColumn("is_x", F.lit(False))).join(full, "node")
-    links = sides.groupBy("centre", "chunk").applyInArrow(W.grouped(lambda t: _verify(t.filter(t["is_x"]), t.filter(pa.compute.invert(t["is_x"])), percent)), "a binary, b binary")
-    return table(links, "links"), best.select("node", "home")
+def _homes(postings: DataFrame) -> DataFrame:
+    """(node, home): for each node that shares a prefix n-gram, the node that most of its prefix n-grams propose."""
+    centre = postings.groupBy("token").agg(F.min(F.struct((F.col("lone") / F.col("n")).alias("odd"), F.col("node"))).alias("c"), F.count("*").alias("m")).where("m > 1").select("token", F.col("c.node").alias("centre"))
+    votes = postings.join(centre, "token").groupBy("node", "centre").count()
+    return table(votes.groupBy("node").agg(F.max(F.struct("count", "centre")).alias("h")).select("node", F.col("h.centre").alias("home")), "homes")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -250,7 +238,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
-_LINK = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+_LINK = pa.schema([("node", pa.binary()), ("to", pa.binary()), ("links", pa.int64())])
 
 
 def _csr(column) -> tuple[np.ndarray, np.ndarray]:
@@ -262,11 +250,11 @@ def _csr(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _verify(xs: pa.Table, ys: pa.Table, percent: int) -> pa.Table:
-    """Links between a block's nodes xs and a chunk of the nodes ys, one for each x and component of y.
+    """Links between a block's nodes xs and a chunk of the nodes ys: per node their count, and the least node they lead to.
 
     The global order of all n-grams here is cut into PARTS fragments.  Each fragment is an inverted list from which the
     partial overlaps of all pairs are counted; a pair stays while its sum so far, and the smaller of both remaining
-    segment sizes, can reach the threshold.
+    segment sizes, can reach the threshold.  N-grams that many of both sides have are counted as a product of matrices.
     """
     if not xs.num_rows or not ys.num_rows:
         return _LINK.empty_table()
@@ -294,6 +282,23 @@ def _verify(xs: pa.Table, ys: pa.Table, percent: int) -> pa.Table:
         lo, hi = np.searchsorted(tokens, v, "left"), np.searchsorted(tokens, v, "right")
         hit = hi > lo
         lo, size, d = lo[hit], (hi - lo)[hit], d[hit]
+        starts, back, times = np.unique(lo, return_inverse=True, return_counts=True)
+        first = np.zeros(len(starts), np.int64)
+        first[back] = size  # how many of xs have the n-gram; times: how many of ys
+        common = first * times * DENSE > len(xn) * len(yn)
+        columns = np.flatnonzero(common)
+        for i in range(0, len(columns), 2_048):
+            part = columns[i : i + 2_048]
+            place = np.full(len(starts), -1)
+            place[part] = np.arange(len(part))
+            left, right = np.zeros((len(xn), len(part)), np.float32), np.zeros((len(yn), len(part)), np.float32)
+            at = np.repeat(starts[part] - np.concatenate([[0], np.cumsum(first[part])[:-1]]), first[part]) + np.arange(first[part].sum())
+            left[owner[at], np.repeat(np.arange(len(part)), first[part])] = 1
+            mine = place[back] >= 0
+            right[d[mine], place[back][mine]] = 1
+            total += (left @ right.T).astype(np.int32)
+        rare = ~common[back]
+        lo, size, d = lo[rare], size[rare], d[rare]
         for a in range(0, len(lo), 20_000):  # bounds the expanded lists
             s, l, y = size[a : a + 20_000], lo[a : a + 20_000], d[a : a + 20_000]
             at = np.repeat(l - np.concatenate([[0], np.cumsum(s)[:-1]]), s) + np.arange(s.sum())
@@ -302,60 +307,61 @@ def _verify(xs: pa.Table, ys: pa.Table, percent: int) -> pa.Table:
             rest -= np.minimum(xseg[:, f, None], yseg[None, :, f])
             alive &= total + rest >= need
     x, y = np.nonzero(alive & (total >= need))
-    _, first = np.unique(x * (len(ranks) + 1) + yrank[y], return_index=True)
-    x, y = x[first], y[first]
-    return pa.Table.from_arrays([xs["node"].take(pa.array(x)).combine_chunks().cast(pa.binary()), ys["node"].take(pa.array(y)).combine_chunks().cast(pa.binary())] if len(x) else [pa.array([], pa.binary())] * 2, schema=_LINK)
-
-
-def _block_links(nodes: DataFrame, postings: DataFrame, home: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Links between nodes of different components that share a prefix n-gram."""
-    label = nodes.select("node", F.greatest(F.size("tokens"), F.lit(LIGHT)).alias("grams")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = label.groupBy("component").agg(F.count("*").alias("members"))
-    label = table(label.join(sizes, "component").select("node", "grams", F.struct("members", "component").alias("rank")), "ranks")
-    posted = postings.select("token", "node").join(label, "node")
-    mixed = posted.groupBy("token").agg(F.min("rank").alias("low"), F.max("rank").alias("top")).where("low != top").drop("low")
-    posted = table(posted.join(mixed, "token"), "mixed")
-    # x: the node of the smaller component; blocks of nodes with a common home
-    x = posted.where("rank != top").select("node", "grams").distinct().join(home, "node")
+    both = np.array(xs["node"].to_pylist() + ys["node"].to_pylist(), object)
+    names, of = np.unique(both, return_inverse=True)
+    x_of, y_of = of[: len(xn)][x], of[len(xn) :][y]
+    links = np.bincount(x_of, np.asarray(ys["copies"])[y], len(names)) + np.bincount(y_of, np.asarray(xs["copies"])[x], len(names))
+    least, before = np.arange(len(names)), None
+    while before is None or (least != before).any():
+        before = least.copy()
+        np.minimum.at(least, x_of, before[y_of])
+        np.minimum.at(least, y_of, before[x_of])
+        least = least[least]
+    out = np.flatnonzero(links)
+    return pa.Table.from_arrays([pa.array(names[out], pa.binary()), pa.array(names[least[out]], pa.binary()), pa.array(links[out].astype(np.int64))], schema=_LINK)
+
+
+def _block_links(nodes: DataFrame, postings: DataFrame, home: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
+    """(node, to, links): per task and node, how many rows it links to, and the least node of its component there."""
+    x = nodes.select("node", F.greatest(F.size("tokens"), F.lit(LIGHT)).alias("grams")).join(home, "node")
     x = x.join(x.groupBy("home").agg(F.ceil(F.sum("grams") / BLOCK).alias("blocks")), "home")
-    x = table(x.select("node", F.struct("home", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("i")).alias("block")), "blocks")
-    asks = posted.where("rank != top").select("token", "node").join(x, "node").groupBy("token").agg(F.collect_set("block").alias("blocks"))
-    y = posted.join(asks, "token").groupBy("node", "grams").agg(F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks"))
-    y = y.select("node", "grams", F.explode("blocks").alias("block"))
-    y = table(y, "asked")
+    x = table(x.select("node", "grams", F.struct("home", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("i")).alias("block")), "blocks")
+    posted = postings.select("token", "node").join(x, "node")
+    asks = posted.groupBy("token").agg(F.collect_set("block").alias("asking"), F.count("*").alias("m")).where("m > 1").drop("m")
+    # of two blocks the lesser asks; within a block the node of the lesser name is x
+    y = posted.join(asks, "token").select("node", "grams", "block", F.filter("asking", lambda b: b <= F.col("block")).alias("asking"))
+    y = y.groupBy("node", "grams", "block").agg(F.array_distinct(F.flatten(F.collect_list("asking"))).alias("asking"))
+    y = y.select("node", "grams", F.col("block").alias("own"), F.explode("asking").alias("block"))
+    y = table(y.select("node", "grams", "block", (F.col("own") == F.col("block")).alias("inner")), "asked")
     chunks = y.groupBy("block").agg(F.ceil(F.sum("grams") / CHUNK).alias("chunks"))
-    full = nodes.select("node", "n", "tokens").join(label.select("node", "rank"), "node")
-    left = x.join(chunks, "block").select("node", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")).join(full, "node")
-    right = y.join(chunks, "block").select("node", "block", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk")).join(full, "node")
-    unit = [F.col("block.home").alias("home"), F.col("block.i").alias("i"), "chunk", "node", "n", "rank", "tokens"]
-    sides = left.select(*unit, F.lit(True).alias("is_x")).unionByName(right.select(*unit, F.lit(False).alias("is_x"))).withColumn("rank", _flat_rank())
-    return sides.groupBy("home", "i", "chunk").applyInArrow(W.grouped(lambda t: _verify(t.filter(t["is_x"]), t.filter(pa.compute.invert(t["is_x"])), percent)), "a binary, b binary")
-
-
-def _flat_rank():
-    """The rank as bytes of the same order."""
-    return F.concat(F.unhex(F.lpad(F.hex("rank.members"), 16, "0")), F.col("rank.component"))
+    full = nodes.select("node", "n", "tokens").join(copies, "node")
+    left = x.join(chunks, "block").select("node", "block", F.lit(True).alias("inner"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")).join(full, "node")
+    right = y.join(chunks, "block").select("node", "block", "inner", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk")).join(full, "node")
+    rank = F.concat(F.when(F.col("inner"), F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit("01"))), F.col("node"))
+    unit = [F.col("block.home").alias("home"), F.col("block.i").alias("i"), "chunk", "node", "n", "copies", rank.alias("rank"), "tokens"]
+    sides = left.select(*unit, F.lit(True).alias("is_x")).unionByName(right.select(*unit, F.lit(False).alias("is_x")))
+    return sides.groupBy("home", "i", "chunk").applyInArrow(W.grouped(lambda t: _verify(t.filter(t["is_x"]), t.filter(pa.compute.invert(t["is_x"])), percent)), "node binary, to binary, links long")
 
 
 def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, component (its name; null for an empty set), text_hash.
+    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, component (its name; null for an empty set), text_hash, links.
 
-    Two texts link when 100 * intersection >= percent * union of their sets of k-word n-grams.
+    Two texts link when 100 * intersection >= percent * union of their sets of k-word n-grams.  links: how many other rows a
+    row links to, copies counted; components are those of these links.
     """
     profiles = _profiles(docs, k)
     nodes = _survivors(docs, k, percent, profiles)
     postings = table(nodes.select("node", "n", "lone", F.explode("prefix").alias("token")), "postings", "lz4")
-    stars, home = _star_links(nodes, postings, percent)
-    labels = components(stars)
-    blocks = table(_block_links(nodes, postings, home, labels, percent), "links")
-    labels = components(stars.union(blocks))
     rows = profiles.where("n is not null")
-    lowest = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"))
-    lowest = lowest.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    copies = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("low"))
+    blocks = table(_block_links(nodes, postings, _homes(postings), copies.select("node", "copies"), percent), "links")
+    labels = components(blocks, "node", "to")
+    linked = blocks.groupBy("node").agg(F.sum("links").alias("links"))
+    lowest = copies.join(labels, "node", "left").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = lowest.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = lowest.join(least, "component").select("node", "component", "component_id")
+    named = lowest.join(least, "component").select("node", "component", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     out = rows.join(named, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component", "text_hash")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component", "text_hash", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -99,6 +99,26 @@ def test_blocks_find_every_link(docs, monkeypatch):
     assert sorted(map(repr, ngram_join.ngram_jaccard_join(docs).select("doc_id", "component_id").collect())) == want
 
 
+def test_links_of_near_copies(spark, monkeypatch):
+    """Every link within a group of near copies counts, not one for each text; copies count too."""
+    rng = np.random.default_rng(5)
+    base, data = prose(rng, 100).split(), []
+    for i in range(60):
+        words = list(base)
+        for j in rng.integers(0, 100, 1 + i % 3):
+            words[j] = f"x{i}q{j}"
+        data += [" ".join(words)] * (3 if i % 10 == 0 else 1)
+    data += ["", "alone here with five words"]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, data)]
+    want = [(i, sum(i != j and len(a & b) * 100 >= 80 * len(a | b) > 0 for j, b in enumerate(sets))) for i, a in enumerate(sets)]
+    assert len({n for _, n in want}) > 5
+    df = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string").repartition(3)
+    for block, chunk, dense in ((100_000, 500_000, 100), (2_000, 3_000, 0), (2_000, 3_000, 1_000_000)):
+        for name, value in (("BLOCK", block), ("CHUNK", chunk), ("DENSE", dense)):
+            monkeypatch.setattr(ngram_join, name, value)
+        assert sorted(tuple(r) for r in ngram_join.ngram_jaccard_join(df).select("doc_id", "links").collect()) == want
+
+
 def test_substring_dedup(docs, empty):
     order = sorted(enumerate(rows()), key=lambda x: (x[1][0] is None, x[1][0] or 0))
     first = {}
