@@ -9,6 +9,8 @@ Plan
    a cap around their mean direction.  A run is compared with the queries whose k-th candidate its cap can still beat, and is
    left out for all others.
 
+A row has a number of its own from the start: what is found twice is one row, and copies each count.
+
 With step 3 the result is exact; `windows_only` leaves it out.  On clustered vectors most runs are left out; on vectors without
 structure (the test table is such) the bound rules out few, and windows alone find a small share: see the README.
 
@@ -29,8 +31,8 @@ from ._store import buckets_for, table
 
 CURVES, DIMS, BITS = 4, 8, 7
 WINDOW, RUN, PART = 64, 2_048, 32_768
-_OUT = pa.schema([("query_id", pa.int64()), ("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-_SQL = "query_id long, query long, vec_id long, score double"
+_OUT = pa.schema([("query_id", pa.int64()), ("query", pa.int64()), ("row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+_SQL = "query_id long, query long, row long, vec_id long, score double"
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -78,7 +80,7 @@ def _keys(batches, seed: int):
     for batch in batches:
         unit, _ = _units(V.matrix(batch["embedding"]))
         for curve in range(CURVES):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unit), curve, np.int32)), pa.array(curve_keys(unit, curve, seed)), batch["vec_id"], batch["query"], batch["embedding"]], ["curve", "key", "vec_id", "query", "embedding"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unit), curve, np.int32)), pa.array(curve_keys(unit, curve, seed)), batch["row"], batch["vec_id"], batch["query"], batch["embedding"]], ["curve", "key", "row", "vec_id", "query", "embedding"])
 
 
 def cosines(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -87,14 +89,14 @@ def cosines(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def _take(q: np.ndarray, own: int, rows: np.ndarray, ids: np.ndarray, near: np.ndarray, k: int):
-    """The k nearest of rows; near: their cosines up to rounding."""
+    """Places and cosines of the k nearest of rows; near: their cosines up to rounding."""
     at = np.flatnonzero(ids != own)
     if len(at) > k:
         least = np.partition(near[at], len(at) - k)[len(at) - k] - 1e-12
         at = at[near[at] >= least]
     score = cosines(q, rows[at])
     first = np.lexsort((ids[at], -score))[:k]
-    return ids[at[first]], score[first]
+    return at[first], score[first]
 
 
 def _windows(batches, k: int, window: int):
@@ -105,12 +107,12 @@ def _windows(batches, k: int, window: int):
     rows = pa.Table.from_batches(got)
     vectors = V.matrix(rows["embedding"])
     unit, _ = _units(vectors)
-    curve, ids, query = np.asarray(rows["curve"]), np.asarray(rows["vec_id"]), np.asarray(rows["query"].fill_null(0))
-    out: list[list] = [[], [], [], []]
+    curve, row, ids, query = np.asarray(rows["curve"]), np.asarray(rows["row"]), np.asarray(rows["vec_id"]), np.asarray(rows["query"].fill_null(0))
+    out: list[list] = [[] for _ in _OUT]
     for i in np.flatnonzero(np.asarray(rows["query"].is_valid())):
         a, b = max(i - window, int(np.searchsorted(curve, curve[i]))), min(i + window + 1, int(np.searchsorted(curve, curve[i], "right")))
         found, score = _take(vectors[i], ids[i], vectors[a:b], ids[a:b], unit[a:b] @ unit[i], k)
-        for x, y in zip(out, ([ids[i]] * len(found), [query[i]] * len(found), found, score)):
+        for x, y in zip(out, ([ids[i]] * len(found), [query[i]] * len(found), row[a:b][found], ids[a:b][found], score)):
             x.extend(y)
     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, _OUT)], schema=_OUT)
 
@@ -123,7 +125,7 @@ def _runs(batches):
     for batch in batches:
         run = (np.arange(n, n + batch.num_rows) // RUN) + (part << 32)
         n += batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(run), batch["vec_id"], batch["embedding"]], ["run", "vec_id", "embedding"])
+        yield pa.RecordBatch.from_arrays([pa.array(run), batch["row"], batch["vec_id"], batch["embedding"]], ["run", "row", "vec_id", "embedding"])
 
 
 def _sweep(rows: pa.Table, k: int) -> pa.Table:
@@ -132,7 +134,7 @@ def _sweep(rows: pa.Table, k: int) -> pa.Table:
         return _OUT.empty_table()
     a, b = V.same_width(V.matrix(q["embedding"]), V.matrix(p["embedding"]))
     (ua, _), (ub, _) = _units(a), _units(b)
-    qid, pid, names = np.asarray(q["vec_id"]), np.asarray(p["vec_id"]), np.asarray(q["query"])
+    qid, pid, prow, names = np.asarray(q["vec_id"]), np.asarray(p["vec_id"]), np.asarray(p["row"]), np.asarray(q["query"])
     bound = np.asarray(q["bound"].fill_null(-2.0))
     centre = ub.mean(0)
     size = np.sqrt((centre * centre).sum())
@@ -140,13 +142,13 @@ def _sweep(rows: pa.Table, k: int) -> pa.Table:
     angle = np.arccos(np.clip((ub @ centre).min(), -1, 1))
     reach = np.cos(np.maximum(0, np.arccos(np.clip(ua @ centre, -1, 1)) - angle)) + 1e-9
     open_ = np.flatnonzero(reach >= bound)
-    out: list[list] = [[], [], [], []]
+    out: list[list] = [[] for _ in _OUT]
     for i in range(0, len(open_), 256):
         part = open_[i : i + 256]
         for row, near in zip(part, ua[part] @ ub.T):
             good = np.flatnonzero(near >= bound[row] - 1e-12)
             found, score = _take(a[row], qid[row], b[good], pid[good], near[good], k)
-            for x, y in zip(out, ([qid[row]] * len(found), [names[row]] * len(found), found, score)):
+            for x, y in zip(out, ([qid[row]] * len(found), [names[row]] * len(found), prow[good[found]], pid[good[found]], score)):
                 x.extend(y)
     return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(out, _OUT)], schema=_OUT)
 
@@ -156,10 +158,11 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, seed: int = 10, win
     rows = V.valid(vectors).where(F.exists("embedding", lambda x: x != 0))
     rows = rows.withColumn("query", F.when(F.col("vec_id") % every == 0, F.xxhash64("embedding")))
     count = rows.count()
-    keyed = rows.mapInArrow(lambda it: _keys(it, seed), "curve int, key long, vec_id long, query long, embedding array<double>")
-    keyed = table(keyed, "curves")
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())  # written once with all curves
+    keyed = numbered.mapInArrow(lambda it: _keys(it, seed), "curve int, key long, row long, vec_id long, query long, embedding array<double>")
+    keyed, found_once = table(keyed, "curves"), ["query_id", "query", "row"]
     ordered = keyed.repartitionByRange(buckets_for(count * CURVES, PART), "curve", "key", "vec_id").sortWithinPartitions("curve", "key", "vec_id")
-    found = ordered.mapInArrow(lambda it: _windows(it, k, window), _SQL).distinct()
+    found = ordered.mapInArrow(lambda it: _windows(it, k, window), _SQL).dropDuplicates(found_once)
     found = table(V.best(found, k), "found")
     if windows_only:
         return found.select("query_id", "rank", "vec_id", "score")
@@ -167,9 +170,9 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, seed: int = 10, win
     asked = V.queries_of(rows, every)
     asking = asked.count()
     asked = table(asked.join(bound, ["vec_id", "query"], "left").withColumn("block", V.block_of(asking)), "asked")
-    first = keyed.where("curve = 0").select("key", "vec_id", "embedding")
-    first = first.repartitionByRange(buckets_for(count, PART), "key", "vec_id").sortWithinPartitions("key", "vec_id").select("vec_id", "embedding")
-    runs = first.mapInArrow(_runs, "run long, vec_id long, embedding array<double>")
+    first = keyed.where("curve = 0").select("key", "row", "vec_id", "embedding")
+    first = first.repartitionByRange(buckets_for(count, PART), "key", "vec_id").sortWithinPartitions("key", "vec_id").select("row", "vec_id", "embedding")
+    runs = first.mapInArrow(_runs, "run long, row long, vec_id long, embedding array<double>")
     swept = V.units(asked, runs.withColumn("blocks", V.all_blocks(asking)), ["run"]).groupBy("block", "run").applyInArrow(W.grouped(lambda t: _sweep(t, k)), _SQL)
-    both = found.select("query_id", "query", "vec_id", "score").unionByName(swept)
-    return V.best(both.distinct(), k).select("query_id", "rank", "vec_id", "score")
+    both = found.select("query_id", "query", "row", "vec_id", "score").unionByName(swept)
+    return V.best(both.dropDuplicates(found_once), k).select("query_id", "rank", "vec_id", "score")

@@ -350,6 +350,19 @@ def test_nearest(vectors, monkeypatch):
     assert curves_ann.nearest(df.limit(0)).count() == 0
 
 
+def test_nearest_counts_copies(spark, monkeypatch):
+    """Copies of a row each count, and push no other row out of the k best for nothing."""
+    monkeypatch.setattr(curves_ann, "RUN", 32)
+    rng = np.random.default_rng(4)
+    data = [(i, rng.standard_normal(6).tolist()) for i in range(200)]
+    data += [r for r in data if r[0] % 3 == 0 for _ in range(r[0] % 5)]
+    cos = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+    want = [(q, k + 1, i) for q, a in data[:200:50] for k, (_, i) in enumerate(sorted((-cos(a, b), i) for i, b in data if i != q)[:5])]
+    got = curves_ann.nearest(spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3))
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got.collect()) == want
+    assert len(set((q, i) for q, _, i in want)) < len(want)
+
+
 def test_windows_alone_find_clusters(spark):
     rng = np.random.default_rng(1)
     centres = rng.standard_normal((40, 16))
