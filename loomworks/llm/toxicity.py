@@ -59,17 +59,20 @@ def start_grammar() -> Grammar:
     return Grammar({w: (k, 3.0 if k == _INSULT else 1.0) for k, text in lists for w in text.split()})
 
 
-def run_clauses(kind: np.ndarray, weight: np.ndarray, place: np.ndarray, clause: np.ndarray) -> tuple[list[float], float, set]:
-    """The composed automaton over the words of a text that are in the lexicon: sums by kind, best clause, insults' places."""
-    sums, best, now, at = [0.0] * len(KINDS), 0.0, 0.0, -1
+def run_clauses(kind: np.ndarray, weight: np.ndarray, place: np.ndarray, clause: np.ndarray) -> tuple[list[float], float, int]:
+    """The composed automaton over the words of a text that are in the lexicon: sums by kind, best clause, and how many
+    insults and threats are neither negated nor reported."""
+    sums, best, direct, at = [0.0] * len(KINDS), 0.0, 0, -1
     negated, reported, aimed, pending = -SCOPE - 1, False, False, []
 
     def emit() -> float:
+        nonlocal direct
         total = 0.0
         for base, w, mark in pending:
             i = base + (2 if mark == 1 else 3 if mark == 2 else 1 if aimed else 0)
             sums[i] += w
-            total += w if i in (0, 1, 4, 5) else 0.0
+            if i in (0, 1, 4, 5):
+                total, direct = total + w, direct + 1
         return total
 
     for k, w, p, c in zip(kind.tolist(), weight.tolist(), place.tolist(), clause.tolist()):
@@ -85,11 +88,11 @@ def run_clauses(kind: np.ndarray, weight: np.ndarray, place: np.ndarray, clause:
         else:
             pending.append((0 if k == _INSULT else 4, w, 1 if p - negated <= SCOPE else 2 if reported else 0))
     best = max(best, emit())
-    return sums, best, now
+    return sums, best, direct
 
 
 def _features(batches, grammar: Grammar, keep: list[str]):
-    """Columns `keep`, and a feature row per text: the kinds' sums, the best clause, and matches per word (all as log(1 + x))."""
+    """Columns `keep`, and a feature row per text: the kinds' sums, the best clause, and unnegated, unreported matches per word (all as log(1 + x))."""
     names, kinds, weights = grammar.compiled()
     width = len(KINDS) + 2
     for batch in batches:
@@ -105,8 +108,8 @@ def _features(batches, grammar: Grammar, keep: list[str]):
             out = np.zeros((b - a, width))
             for i in np.flatnonzero(strong):
                 s = slice(bounds[i], bounds[i + 1])
-                sums, best, _ = run_clauses(kind[s], weight[s], hit[s], clause[s])
-                out[i, :-2], out[i, -2], out[i, -1] = sums, best, 100 * strong[i] / words.count[i]
+                sums, best, direct = run_clauses(kind[s], weight[s], hit[s], clause[s])
+                out[i, :-2], out[i, -2], out[i, -1] = sums, best, 100 * direct / words.count[i]
             yield batch.slice(a, b - a).select(keep), np.log1p(np.maximum(out, 0))
 
 

@@ -383,6 +383,15 @@ def test_hilbert_is_a_path():
     assert sorted(key) == list(range(64)) and (np.abs(np.diff(order, axis=0)).sum(1) == 1).all()
 
 
+def test_share_of_words_counts_direct_clauses_only(spark):
+    grammar = toxicity.start_grammar()
+    grammar.kinds = [0.0] * (len(toxicity.KINDS) + 1) + [1.0]
+    data = ["you are fine today", "you are not stupid", "she said you are an idiot", "she said nothing. you are an idiot"]
+    got = toxicity.score_documents(spark.createDataFrame(list(enumerate(data)), "doc_id long, text string"), grammar)
+    score = [r.score for r in sorted(got.collect())]
+    assert score[0] == score[1] == score[2] < score[3]
+
+
 def test_toxicity(spark, docs, empty):
     rng = np.random.default_rng(4)
     data, labels = [], []
