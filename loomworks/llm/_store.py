@@ -5,35 +5,55 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (a bare local session), one of our own."""
+    """The folder in spark.checkpoint.dir; only where that is unset in a local session, one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="loomworks-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root}/loomworks/{spark.sparkContext.applicationId}"
 
 
+_scopes: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return "/".join([shared_folder(spark), *_scopes[-1:], f"{name}-{uuid.uuid4().hex}"])
+
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables written inside go when it is left: what is wanted later is read and written elsewhere before."""
+    _scopes.append(f"scratch-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        _delete(spark, f"{shared_folder(spark)}/{_scopes.pop()}")
 
-def table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+
+def table(df: DataFrame, name: str, codec: str = "zstd", path: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, and survives the loss of executors."""
-    path = fresh_path(df.sparkSession, name)
+    path = path or fresh_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_tables(spark: SparkSession) -> None:
     """Removes all that this application has written to the shared folder."""
-    jvm, path = spark.sparkContext._jvm, shared_folder(spark)
-    at = jvm.org.apache.hadoop.fs.Path(path)
+    _delete(spark, shared_folder(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 

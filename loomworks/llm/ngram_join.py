@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._store import table
+from ._store import hidden, restored, table
 
 HOT = 500
 #: n-grams in a fragment's task; n-grams on each side of a block's task.
@@ -370,13 +370,13 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Of rows equal in doc_id and text one stays.  Texts with an empty set all stay, one for each doc_id and text.
     """
     found = ngram_jaccard_join(docs, k, percent)
-    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    first = found.where("component is not null").groupBy("component").agg(F.min(row).alias("r")).select("r._id", "r._hash")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("stay_id"), F.col("text_hash").alias("stay_hash"))
+    first = found.where("component is not null").groupBy("component").agg(F.min(row).alias("r")).select("r.stay_id", "r.stay_hash")
     stay = first.union(found.where("component is null").select("doc_id", "text_hash").distinct())
-    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    kept = hashed.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
-    once = Window.partitionBy("doc_id", "_text_hash").orderBy("text")
-    return kept.withColumn("_once", F.row_number().over(once)).where("_once = 1").drop("_once", "_text_hash")
+    rows = hidden(docs, "doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    kept = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("text_hash") == F.col("stay_hash")), "left_semi")
+    once = Window.partitionBy("doc_id", "text_hash").orderBy("text")
+    return restored(kept.withColumn("once", F.row_number().over(once)).where("once = 1"), docs.columns, text=F.col("text"))
 
 
 JOIN_SQL = r"""

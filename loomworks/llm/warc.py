@@ -6,12 +6,14 @@ Plan
 2. Headers join their originals; a header whose page is not the original is a revisit.
 3. Payloads are shuffled once, by page, into archives of about ARCHIVE bytes, and meet their decision there.  Originals are
    written whole, revisits as a header that refers to the original, all with fresh headers.
-4. Archives are written by Spark's text writer, one gzip member each.  Its line separator is the two line ends that close
-   a record, so the files are WARC as they stand, on any file system and under the commit protocol of Spark.
-5. Reading back follows Content-Length through each archive, so payloads may hold anything.
+4. Each record is a gzip member of its own, so an archive can be entered at any record.  Members are written by Spark's text
+   writer, on any file system and under its commit protocol.  The line separator that it puts after each is an empty member,
+   which holds no bytes: unpacked, the files are WARC as they stand.
+5. Reading back unpacks an archive member by member, and follows Content-Length, so payloads may hold anything, and
+   archives of one member, or of none, are read too.
 
 Defined results: a null html is an empty payload.  Rows that repeat page_id and payload are equally the original: each is written
-as a response.  A null page_id is smaller than any.  A null url has no target header.  Payloads under `least` bytes are all
+as a response, under a record id of its own; revisits refer to the first.  A null page_id is smaller than any.  A null url has no target header.  Payloads under `least` bytes are all
 responses.  An empty table gives an empty archive folder and no rows.
 """
 
@@ -19,7 +21,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 import zlib
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,6 +33,8 @@ from ._store import buckets_for, fresh_path
 
 ARCHIVE = 16 << 20
 LINE = "\r\n"
+#: Bytes of packed records that go on together.
+BATCH = 8 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -47,10 +53,47 @@ def resolve(headers: DataFrame, least: int = 0) -> DataFrame:
     return rows.select("page", "no_page", "digest", F.when(own, "response").otherwise("revisit").alias("record_type"), F.when(~own, F.col("original")).alias("original"))
 
 
-def _record_id(page: Column, digest: Column) -> Column:
-    h = F.md5(F.concat_ws(":", F.coalesce(page.cast("string"), F.lit("-")), digest))
-    parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
+def record_id(page: int | None, digest: str, copy: int = 0) -> str:
+    """The id of the record of a page and payload; `copy` tells repeated rows apart."""
+    name = hashlib.md5(f"{'-' if page is None else page}:{digest}{f':{copy}' if copy else ''}".encode()).hexdigest()
+    return f"<urn:uuid:{uuid.UUID(name)}>"
+
+
+def member(data: bytes) -> bytes:
+    """A gzip member without a time, so that equal records are equal bytes."""
+    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return pack.compress(data) + pack.flush()
+
+
+#: Stands after each record in an archive.
+EMPTY = member(b"")
+
+
+def _pack(batches, date: str):
+    """Each row as a gzip member that holds its record.  Repeats of a page and payload are in one partition."""
+    copies: Counter = Counter()
+    for batch in batches:
+        rows = zip(*(batch[c].to_pylist() for c in ("page", "no_page", "digest", "bytes", "url", "record_type", "original")), batch["payload"])
+        out, size = [], 0
+        for page, no_page, digest, n, url, kind, original, payload in rows:
+            page, own = None if no_page else page, kind == "response"
+            fields = [("WARC-Type", kind), ("WARC-Record-ID", record_id(page, digest, copies[page, digest])), ("WARC-Date", date)]
+            copies[page, digest] += 1
+            if url is not None:
+                fields.append(("WARC-Target-URI", url.replace("\r", " ").replace("\n", " ")))
+            fields.append(("WARC-Payload-Digest", f"sha1:{digest}"))
+            if not own:
+                fields += [("WARC-Refers-To", record_id(original, digest)), ("WARC-Profile", PROFILE)]
+                fields += [("X-Refers-To-Page", original)] * (original is not None)
+            fields += [("X-Page-ID", page)] * (page is not None)
+            fields += [("X-Payload-Length", n), ("Content-Type", "text/html"), ("Content-Length", n if own else 0)]
+            head = LINE.join(["WARC/1.1", *(f"{k}: {v}" for k, v in fields), "", ""]).encode()
+            out.append(member(head + (payload.as_buffer().to_pybytes() if own else b"") + 2 * LINE.encode()))
+            size += len(out[-1])
+            if size > BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                out, size = [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
 
 def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", least: int = 0) -> None:
@@ -61,29 +104,27 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     total = pages.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()[0]
     decided = resolve(pages.select(*page, digest, size), least)
     rows = pages.select(*page, digest, size, "url", html.alias("payload")).repartition(buckets_for(total, ARCHIVE), "page", "no_page", "digest")
-    rows = rows.join(decided, ["page", "no_page", "digest"])
-    own = F.col("record_type") == "response"
-    page_id = F.when(~F.col("no_page"), F.col("page"))
-
-    def field(name: str, value: Column) -> Column:
-        return F.concat(F.lit(f"{name}: "), value, F.lit(LINE))
-
-    head = F.concat(
-        F.lit("WARC/1.1" + LINE),
-        field("WARC-Type", F.col("record_type")),
-        field("WARC-Record-ID", _record_id(page_id, F.col("digest"))),
-        field("WARC-Date", F.lit(date)),
-        F.coalesce(field("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", " ")), F.lit("")),
-        field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        F.when(own, "").otherwise(F.concat(field("WARC-Refers-To", _record_id(F.col("original"), F.col("digest"))), field("WARC-Profile", F.lit(PROFILE)))),
-        F.coalesce(field("X-Refers-To-Page", F.col("original").cast("string")), F.lit("")),
-        F.coalesce(field("X-Page-ID", page_id.cast("string")), F.lit("")),
-        field("X-Payload-Length", F.col("bytes").cast("string")),
-        field("Content-Type", F.lit("text/html")),
-        field("Content-Length", F.when(own, F.col("bytes")).otherwise(0).cast("string")),
-    )
-    record = F.concat(head, F.lit(LINE), F.when(own, F.col("payload")).otherwise(""))
-    rows.select(record.alias("value")).write.option("lineSep", LINE * 2).option("compression", "gzip").text(path)
+    members = rows.join(decided, ["page", "no_page", "digest"]).mapInArrow(lambda it: _pack(it, date), "value binary")
+    raw = members.select(F.col("value").cast("string").alias("value"))  # the writer puts a string's bytes down as they are
+    raw.write.option("compression", "none").option("encoding", "ISO-8859-1").option("lineSep", EMPTY.decode("latin-1")).text(path)
+
+
+def unpacked(data: bytes) -> bytes:
+    """All members of a gzip file, one after another; other data as it is."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    view, out, at = memoryview(data), [], 0
+    while at < len(data) and data[at : at + 2] == b"\x1f\x8b":
+        unpack = zlib.decompressobj(31)
+        while not unpack.eof:
+            if at == len(data):
+                raise ValueError("a member of the archive is cut short")
+            piece = view[at : at + (1 << 16)]
+            out.append(unpack.decompress(piece))
+            at += len(piece) - len(unpack.unused_data)
+    if data[at:].strip(b"\0"):
+        raise ValueError(f"no member at byte {at}")
+    return b"".join(out)
 
 
 def records(data: bytes):
@@ -108,8 +149,7 @@ def _read(batches):
     number = lambda f, k: int(f[k]) if k in f else None
     for batch in batches:
         for content in batch["content"]:
-            data = content.as_buffer()
-            data = zlib.decompress(data, 31) if bytes(data[:2]) == b"\x1f\x8b" else data.to_pybytes()
+            data = unpacked(content.as_buffer().to_pybytes())
             rows: list[tuple] = []
             for f, block in records(data):
                 digest, response = f["warc-payload-digest"].partition(":")[2], f["warc-type"] == "response"

@@ -1,6 +1,7 @@
 """The ten operators against brute force, on small fixtures with every awkward row: nulls, empty and long texts, ties, repeats."""
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -91,6 +92,15 @@ def test_ngram_join(docs, empty):
     assert ngram_join.ngram_jaccard_join(empty).count() == 0 and ngram_join.keep_first(empty).count() == 0
 
 
+def test_keep_first_keeps_columns_of_any_name(spark):
+    names = ["_id", "_hash", "_once", "_text_hash", "once", "stay_id", "stay_hash", "text_hash", "no_id", "component"]
+    data = [(i, "a b c d e f" if i % 2 else f"one text {i}", *[f"{n}{i}" for n in names]) for i in range(6)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    kept = ngram_join.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r) for r in kept.collect()) == [r for r in data if r[0] not in (3, 5)]
+
+
 def test_blocks_find_every_link(docs, monkeypatch):
     """Tiny blocks, chunks and fragments give the same components."""
     want = sorted(map(repr, ngram_join.ngram_jaccard_join(docs).select("doc_id", "component_id").collect()))
@@ -306,6 +316,31 @@ def test_warc(spark, tmp_path):
     assert warc.archive_pages(pages.limit(0)).count() == 0
     small = Counter(r.record_type for r in warc.archive_pages(pages, least=10).collect())
     assert small == {"response": 6, "revisit": 2}
+    ids = []
+    for at in (tmp_path / "w").glob("part-*"):
+        plain, found, rest = gzip.decompress(at.read_bytes()), 0, at.read_bytes()
+        while rest:  # a member holds one record, or nothing
+            unpack = zlib.decompressobj(31)
+            part, rest = unpack.decompress(rest), unpack.unused_data
+            held = list(warc.records(part))
+            assert len(held) == (len(part) > 0) and plain[found : found + len(part)] == part
+            found, ids = found + len(part), ids + [f["warc-record-id"] for f, _ in held]
+        assert found == len(plain)
+    assert len(ids) == len(set(ids)) == len(data)
+
+
+def test_archives_of_others(spark, tmp_path):
+    """One member per record, one member for all, or none: every record is read; what is cut short is an error."""
+    record = lambda i, b: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Payload-Digest: sha1:{base64.b32encode(hashlib.sha1(b).digest()).decode()}\r\nX-Page-ID: {i}\r\nX-Payload-Length: {len(b)}\r\nContent-Length: {len(b)}\r\n\r\n".encode() + b + b"\r\n\r\n"
+    three = [record(i, b"x" * i * 70_000) for i in range(3)]
+    forms = {"many": b"".join(map(gzip.compress, three)), "one": gzip.compress(b"".join(three)), "plain": b"".join(three)}
+    for name, data in forms.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc").write_bytes(data)
+        assert sorted((r.page_id, r.intact) for r in warc.read_archives(spark, str(tmp_path / name)).collect()) == [(0, True), (1, True), (2, True)]
+    for data in (forms["many"][:-5], forms["many"] + b"junk"):
+        with pytest.raises(ValueError):
+            warc.unpacked(data)
 
 
 VECTORS = [(i, list(map(float, v))) for i, v in enumerate(np.random.default_rng(5).standard_normal((300, 12)))]
