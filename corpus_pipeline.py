@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomworks.llm import mixing, ngram_join, packing, secret_scan
 from loomworks.llm import toxicity as grammar
-from loomworks.llm._store import table
+from loomworks.llm._store import fresh_path, scratch, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +31,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their place in sequences.  Repeats of a document are pieces of their own."""
-    return packing.pack_documents(docs)
+    """Pieces with their token ids and their place in sequences.  Repeats of a document are pieces of their own."""
+    return packing.pack_documents(docs, with_ids=True)
 
 
 STAGES = [("toxicity", toxicity), ("ngram_jaccard_join", near_duplicates), ("secret_scan", secrets), ("mixing", mix), ("packing", pack)]
@@ -43,5 +43,7 @@ ORACLE_SQL = None  # a trained grammar and a tokenizer are beyond SQL; tests hol
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = table(stage(spark, docs, sf_dir), name)
+        path = fresh_path(spark, name)
+        with scratch(spark):
+            docs = table(stage(spark, docs, sf_dir), name, path=path)
     return docs
