@@ -30,6 +30,8 @@ from . import _words as W
 from ._store import even_cut, ranked, table
 
 CAPACITY = 1024
+#: How far the linear program's solution may be from its least, as a share.
+GAP = 1e-5
 END = 0
 _LAST_LATIN = 0x24F
 
@@ -149,20 +151,25 @@ def _exchange(inverse: np.ndarray, d: np.ndarray, out: int) -> None:
     inverse[out] = row
 
 
-def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float) -> tuple[np.ndarray, np.ndarray]:
     """(patterns, how often): a basic solution of min sum(x) subject to patterns.T @ x = demand, x >= 0.
 
     Each round prices a new column and exchanges one of the basis.  It ends when no column has a reduced cost below zero, or
-    after `rounds` exchanges with the (feasible) solution so far.
+    when the solution is proven to be within `gap` (a share) of the least: no solution is below the sum of sizes over the
+    capacity, nor below the present one over the best column's value (Farley's bound).  Demands are changed by less than a
+    millionth, each by its own amount, so no two exchanges tie and no basis comes back.
     """
+    demand = demand * (1 + 1e-7 * (1 + np.arange(len(sizes))) / len(sizes))
+    least = float(sizes @ demand) / capacity
     columns, often, row = first_basis(sizes, demand, capacity)
     basis, inverse, x = np.zeros_like(columns), np.eye(len(sizes)), np.zeros(len(sizes))
     for column, n, out in zip(columns.T, often, row):
         _exchange(inverse, times(inverse, column), out)
         basis[:, out], x[out] = column, n
-    for _ in range(rounds):
+    while True:
         best, column = knapsack(inverse.sum(0), sizes, capacity)
-        if best <= 1 + 1e-7:
+        least = max(least, x.sum() / max(best, 1.0))
+        if best <= 1 + 1e-7 or x.sum() - least <= gap * least:
             break
         d = times(inverse, column)
         ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
@@ -177,7 +184,7 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, roun
     return basis.T.round().astype(np.int64), x
 
 
-def patterns(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 400) -> list[tuple[dict[int, int], int]]:
+def patterns(histogram: dict[int, int], capacity: int = CAPACITY, gap: float = GAP) -> list[tuple[dict[int, int], int]]:
     """[(pattern {length: how many}, sequences)] that hold all of the histogram, each length to its exact count."""
     sizes = np.array(sorted(histogram), np.int64)
     left = np.array([histogram[int(s)] for s in sizes], np.int64)
@@ -187,7 +194,7 @@ def patterns(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int =
         out.append(({capacity: 1}, int(left[whole][0])))
     sizes, left = sizes[~whole], left[~whole].copy()
     if len(sizes):
-        columns, x = column_generation(sizes, left.astype(float), capacity, rounds)
+        columns, x = column_generation(sizes, left.astype(float), capacity, gap)
         for i in np.argsort(-x):
             n = int(x[i] + 1e-6)
             has = columns[i] > 0
@@ -235,7 +242,8 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, ranks: str | N
         tokenizer, ranks, pattern = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     files = (tokenizer, ranks, pattern)
     columns = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, key long" + ", ids array<int>" * with_ids
-    texts = docs.select("doc_id", F.xxhash64(F.lit(7), "doc_id", "text").alias("key"), "text")
+    # repeated rows get keys of their own; the pieces are written before any key is used
+    texts = docs.select("doc_id", F.xxhash64(F.lit(7), "doc_id", "text", F.monotonically_increasing_id()).alias("key"), "text")
     pieces = table(texts.mapInArrow(lambda it: _tokenize(it, files, capacity, with_ids), columns), "pieces")
     pieces = pieces.withColumn("key", F.xxhash64("key", "start"))
     histogram = dict(pieces.groupBy(F.col("length").cast("int")).count().collect())

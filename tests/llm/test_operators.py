@@ -288,6 +288,35 @@ def test_encoder_paths():
         assert both(t) == exact(t)
 
 
+def test_encoder_paths_agree_on_a_corpus():
+    """The faster library gives the same ids: every text of a table, and random strings of the characters that it is used for."""
+    import pyarrow.parquet as pq
+    from public_tokenizers import PATTERN, path
+
+    both = packing.Encoder(path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), PATTERN)
+    exact = packing.Encoder(path("byte_bpe_50k.json"), None, None)
+    rng = np.random.default_rng(8)
+    made = ["".join(map(chr, rng.integers(0, 0x250, rng.integers(1, 80)))) for _ in range(3000)]
+    made += ["".join(rng.choice(list(" \n\t'’sdtéß½²9٣A\xa0\x85\x1c"), rng.integers(1, 30))) for _ in range(3000)]
+    for t in [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist() if t] + made:
+        assert both(t) == exact(t)
+
+
+def test_linear_program_reaches_its_least():
+    """Against the best of all patterns on sizes where they can be listed, from demands whose first basis is not the best."""
+    from itertools import product
+
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        sizes, capacity = np.sort(rng.choice(np.arange(6, 30), 4, False)), 60
+        demand = rng.integers(1, 50, 4).astype(float)
+        columns, x = packing.column_generation(sizes, demand, capacity, 0.0)
+        assert np.allclose(columns.T @ x, demand, rtol=1e-5) and (columns @ sizes <= capacity).all()
+        every = np.array([p for p in product(*(range(capacity // s + 1) for s in sizes)) if 0 < np.dot(p, sizes) <= capacity])
+        worth = np.linalg.solve(columns.astype(float), np.ones(4)) if abs(np.linalg.det(columns)) > 1e-9 else None
+        assert worth is not None and (every @ worth).max() <= 1 + 1e-6  # no pattern prices out: the least
+
+
 def test_patterns_hold_the_histogram():
     rng = np.random.default_rng(2)
     histogram = {int(s): int(n) for s, n in zip(rng.choice(512, 90, False) + 1, rng.integers(1, 4000, 90))} | {1024: 7}
