@@ -1,20 +1,20 @@
 """Operator 10: nearest neighbours by shifted space-filling curves.
 
 Plan
-1. Unit vectors are projected to DIMS directions, shifted, and ordered along a Hilbert curve; CURVES times, each with directions
-   and a shift of its own.  Every vector is on every curve.
-2. Spark range-partitions each order by (curve, key, id); copies of one vector are spread by their ids.  A query is compared
-   with its WINDOW neighbours on both sides of each order, and the curves' findings merge and rerank: its candidates.
-3. What the windows may have missed is merged in too: runs of the first curve's order (key windows of RUN rows) are bounded by
-   a cap around their mean direction.  A run is compared with the queries whose k-th candidate its cap can still beat, and is
-   left out for all others.
+1. Equal vectors are one node, with the smallest ids of its rows and how often each occurs; they meet within a batch first, so a
+   vector of any number of copies is one row a batch.  From here on a copy costs nothing and ties can't hide each other.
+2. A node is projected to DIMS directions, shifted, and ordered along a Hilbert curve; CURVES times, each with directions
+   of its own (all orthogonal, as long as there are enough) and a shift of its own.  Spark range-partitions the orders by
+   (curve, key, node); counts of the partitions make places within them ranks on the curve, whatever partition a node is in.
+3. The width of the key windows is measured, not set: for at most SAMPLE queries (the first by a hash of the vector) the true
+   neighbours are found by one scan of all nodes; the width is the least at which the share `recall` of them lies within it on
+   one curve at least.  Data with structure gets narrow windows, data without gets wide ones.
+4. Each curve's order is cut into chunks of CHUNK ranks.  A query goes to all chunks that its window reaches, on either side of
+   any partition; in a chunk its best by coarse codes (a byte per component) are picked.
+5. The findings of all curves merge, and the best KEEP * k of each query are reranked by exact cosines on the original vectors.
 
-A row has a number of its own from the start: what is found twice is one row, and copies each count.
-
-With step 3 the result is exact; `windows_only` leaves it out.  On clustered vectors most runs are left out; on vectors without
-structure (the test table is such) the bound rules out few, and windows alone find a small share: see the README.
-
-Defined results: as for the exact search; zero vectors take no part either.
+Defined results: as for the exact search; zero vectors take no part either.  Equal scores are ordered by id.  A table without
+queries, or with one row, gives no rows.  Shorter vectors count as filled with zeros.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _words as W
@@ -30,9 +30,14 @@ from . import vectors as V
 from ._store import buckets_for, table
 
 CURVES, DIMS, BITS = 4, 8, 7
-WINDOW, RUN, PART = 64, 2_048, 32_768
-_OUT = pa.schema([("query_id", pa.int64()), ("query", pa.int64()), ("row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-_SQL = "query_id long, query long, row long, vec_id long, score double"
+#: Ranks of a range partition, of a chunk, and of a block of queries.
+PART, CHUNK, BLOCK = 65_536, 8_192, 131_072
+#: Queries whose true neighbours set the windows' width, and the share of these that must lie in them.
+SAMPLE, RECALL = 256, 0.97
+KEEP = 4
+_PAIR = pa.schema([("query", pa.int64()), ("node", pa.int64()), ("near", pa.float64())])
+_PAIR_SQL = "query long, node long, near double"
+_RESULT_SQL = "query_id long, rank int, vec_id long, score double"
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -61,118 +66,215 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def curve_keys(vectors: np.ndarray, curve: int, seed: int) -> np.ndarray:
-    """Keys of unit vectors on one curve: its own random directions and its own shift."""
-    wide = vectors.shape[1]
-    rng = np.random.default_rng([seed, curve, wide])
-    directions = np.linalg.qr(rng.standard_normal((wide, min(DIMS, wide))))[0] if wide else np.zeros((0, 1))
-    place = vectors @ directions * np.sqrt(max(wide, 1))
-    cells = (np.clip((place + 4) / 8, 0, 1) + rng.random(place.shape[1]) / 2) / 1.5 * ((1 << BITS) - 1)
+def directions(width: int, seed: int) -> list[np.ndarray]:
+    """For each curve an orthonormal set of directions; sets are orthogonal to each other until the space is used up."""
+    rng, dims = np.random.default_rng([seed, width]), min(DIMS, width)
+    found: list[np.ndarray] = []
+    while len(found) < CURVES:
+        fresh = np.linalg.qr(rng.standard_normal((width, min(width, CURVES * dims))))[0]
+        found += [fresh[:, i : i + dims] for i in range(0, fresh.shape[1] - dims + 1, dims)]
+    return found[:CURVES]
+
+
+def curve_keys(unit: np.ndarray, curve: int, along: np.ndarray, seed: int) -> np.ndarray:
+    """Keys of unit vectors on one curve, with a shift of its own."""
+    shift = np.random.default_rng([seed, curve]).random(along.shape[1])
+    place = unit @ along * np.sqrt(unit.shape[1])
+    cells = (np.clip((place + 4) / 8, 0, 1) + shift / 2) / 1.5 * ((1 << BITS) - 1)
     return hilbert(cells.astype(np.int64), BITS)
 
 
-def _units(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    size = np.sqrt((rows * rows).sum(1))
-    return rows / np.where(size > 0, size, 1)[:, None], size
+def _units(rows: np.ndarray) -> np.ndarray:
+    """Rows at length 1; each is first brought to components of at most 1, so that squares neither overflow nor vanish."""
+    rows = rows / np.abs(rows).max(1, initial=0)[:, None]
+    return rows / np.sqrt((rows * rows).sum(1))[:, None]
+
 
+def _read(column, kind: np.dtype, width: int) -> np.ndarray:
+    return W.flat(column, kind)[0].reshape(-1, width).astype(float)
 
-def _keys(batches, seed: int):
+
+def _vectors(batch, kind: np.dtype, width: int) -> np.ndarray:
+    """A batch's vectors, filled to the width with zeros, -0 as 0; equal vectors have equal bytes."""
+    rows = V.matrix(batch["embedding"])
+    return np.pad(rows, ((0, 0), (0, width - rows.shape[1]))).astype(kind) + kind.type(0)
+
+
+def _distinct(batches, kind: np.dtype, width: int, k: int):
+    """Of each batch every vector once, with the k + 1 smallest ids that it has there, and how often (k at most)."""
     for batch in batches:
-        unit, _ = _units(V.matrix(batch["embedding"]))
+        rows = np.ascontiguousarray(_vectors(batch, kind, width))
+        if not len(rows):
+            continue
+        ids, name = np.asarray(batch["vec_id"]), rows.view(f"V{rows.itemsize * width}").ravel()
+        _, first, of = np.unique(name, return_index=True, return_inverse=True)
+        pairs, times = np.unique(np.stack([of.ravel(), ids]), axis=1, return_counts=True)
+        spot = np.arange(len(times)) - np.searchsorted(pairs[0], pairs[0])
+        keep = spot <= k
+        node, ids, times = pairs[0][keep], pairs[1][keep], np.minimum(times[keep], k)
+        found = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(times.astype(np.int64))], ["id", "n"])
+        ends = pa.array(np.searchsorted(node, np.arange(len(first) + 1)).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([W.blobs(rows[first], np.arange(len(first) + 1)), pa.ListArray.from_arrays(ends, found)], ["vector", "ids"])
+
+
+def _asked(batches, kind: np.dtype, width: int):
+    for batch in batches:
+        rows = _vectors(batch, kind, width)
+        yield pa.RecordBatch.from_arrays([batch["vec_id"], W.blobs(rows, np.arange(len(rows) + 1))], ["query_id", "vector"])
+
+
+def _keys(batches, kind: np.dtype, width: int, seed: int):
+    along = directions(width, seed)
+    for batch in batches:
+        unit = _units(_read(batch["vector"], kind, width))
         for curve in range(CURVES):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unit), curve, np.int32)), pa.array(curve_keys(unit, curve, seed)), batch["row"], batch["vec_id"], batch["query"], batch["embedding"]], ["curve", "key", "row", "vec_id", "query", "embedding"])
-
-
-def cosines(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Cosines of one vector with rows; each row's sum is taken in the same order, so equal rows score equally."""
-    return (rows * q).sum(1) / (np.sqrt((rows * rows).sum(1)) * np.sqrt((q * q).sum()))
-
-
-def _take(q: np.ndarray, own: int, rows: np.ndarray, ids: np.ndarray, near: np.ndarray, k: int):
-    """Places and cosines of the k nearest of rows; near: their cosines up to rounding."""
-    at = np.flatnonzero(ids != own)
-    if len(at) > k:
-        least = np.partition(near[at], len(at) - k)[len(at) - k] - 1e-12
-        at = at[near[at] >= least]
-    score = cosines(q, rows[at])
-    first = np.lexsort((ids[at], -score))[:k]
-    return at[first], score[first]
-
-
-def _windows(batches, k: int, window: int):
-    """A range partition in order of (curve, key, id): each query against its neighbours."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    rows = pa.Table.from_batches(got)
-    vectors = V.matrix(rows["embedding"])
-    unit, _ = _units(vectors)
-    curve, row, ids, query = np.asarray(rows["curve"]), np.asarray(rows["row"]), np.asarray(rows["vec_id"]), np.asarray(rows["query"].fill_null(0))
-    out: list[list] = [[] for _ in _OUT]
-    for i in np.flatnonzero(np.asarray(rows["query"].is_valid())):
-        a, b = max(i - window, int(np.searchsorted(curve, curve[i]))), min(i + window + 1, int(np.searchsorted(curve, curve[i], "right")))
-        found, score = _take(vectors[i], ids[i], vectors[a:b], ids[a:b], unit[a:b] @ unit[i], k)
-        for x, y in zip(out, ([ids[i]] * len(found), [query[i]] * len(found), row[a:b][found], ids[a:b][found], score)):
-            x.extend(y)
-    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, _OUT)], schema=_OUT)
-
-
-def _runs(batches):
-    """The first curve's partitions cut into runs: run id (-1 - place, by partition) beside each row."""
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unit), curve, np.int32)), pa.array(curve_keys(unit, curve, along[curve], seed)), batch["node"]], ["curve", "key", "node"])
+
+
+def _place(batches):
+    """A range partition's number, and each row's place in it."""
     from pyspark import TaskContext
 
     part, n = TaskContext.get().partitionId(), 0
     for batch in batches:
-        run = (np.arange(n, n + batch.num_rows) // RUN) + (part << 32)
+        spot = np.arange(n, n + batch.num_rows)
         n += batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(run), batch["row"], batch["vec_id"], batch["embedding"]], ["run", "row", "vec_id", "embedding"])
+        yield pa.RecordBatch.from_arrays([batch["curve"], pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(spot), batch["node"]], ["curve", "part", "spot", "node"])
+
+
+def _top(near: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """Places of the `most` largest; of equal ones the first by `order`."""
+    at = np.flatnonzero(near > -2)
+    if len(at) > most:
+        at = at[near[at] >= np.partition(near[at], len(at) - most)[len(at) - most]]
+    return at[np.lexsort((order[at], -near[at]))[:most]]
+
 
+def _pairs(out: list) -> pa.RecordBatch:
+    q, node, near = (np.concatenate(x) if x else np.zeros(0) for x in zip(*out)) if out else (np.zeros(0),) * 3
+    return pa.RecordBatch.from_arrays([pa.array(q.astype(np.int64)), pa.array(node.astype(np.int64)), pa.array(near.astype(float))], schema=_PAIR)
 
-def _sweep(rows: pa.Table, k: int) -> pa.Table:
+
+def _scan(batches, kind: np.dtype, width: int, names: np.ndarray, unit: np.ndarray, k: int):
+    """The true neighbours of the sample among the nodes of each batch."""
+    for batch in batches:
+        rows, node = _units(_read(batch["vector"], kind, width)), np.asarray(batch["node"])
+        near, out = unit @ rows.T, []
+        near[names[:, None] == node] = -2
+        for name, x in zip(names, near):
+            at = _top(x, node, k)
+            out.append((np.full(len(at), name), node[at], x[at]))
+        yield _pairs(out)
+
+
+def _codes(batches, kind: np.dtype, width: int):
+    """A byte per component: the angle between two codes is that of their vectors up to rounding."""
+    for batch in batches:
+        unit = _units(_read(batch["vector"], kind, width))
+        code = np.rint(unit / np.abs(unit).max(1)[:, None] * 127).astype(np.int8)
+        yield pa.RecordBatch.from_arrays([batch["node"], W.blobs(code, np.arange(len(code) + 1))], ["node", "code"])
+
+
+def _window(rows: pa.Table, width: int, window: int, most: int) -> pa.Table:
+    """A chunk of a curve and the queries of a block whose windows reach it: per query the best of its window here."""
     q, p = rows.filter(rows["is_query"]), rows.filter(pa.compute.invert(rows["is_query"]))
     if not q.num_rows or not p.num_rows:
-        return _OUT.empty_table()
-    a, b = V.same_width(V.matrix(q["embedding"]), V.matrix(p["embedding"]))
-    (ua, _), (ub, _) = _units(a), _units(b)
-    qid, pid, prow, names = np.asarray(q["vec_id"]), np.asarray(p["vec_id"]), np.asarray(p["row"]), np.asarray(q["query"])
-    bound = np.asarray(q["bound"].fill_null(-2.0))
-    centre = ub.mean(0)
-    size = np.sqrt((centre * centre).sum())
-    centre = centre / size if size > 1e-9 else ub[0]
-    angle = np.arccos(np.clip((ub @ centre).min(), -1, 1))
-    reach = np.cos(np.maximum(0, np.arccos(np.clip(ua @ centre, -1, 1)) - angle)) + 1e-9
-    open_ = np.flatnonzero(reach >= bound)
-    out: list[list] = [[] for _ in _OUT]
-    for i in range(0, len(open_), 256):
-        part = open_[i : i + 256]
-        for row, near in zip(part, ua[part] @ ub.T):
-            good = np.flatnonzero(near >= bound[row] - 1e-12)
-            found, score = _take(a[row], qid[row], b[good], pid[good], near[good], k)
-            for x, y in zip(out, ([qid[row]] * len(found), [names[row]] * len(found), prow[good[found]], pid[good[found]], score)):
-                x.extend(y)
-    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(out, _OUT)], schema=_OUT)
-
-
-def nearest(vectors: DataFrame, k: int = 5, every: int = 50, seed: int = 10, window: int = WINDOW, windows_only: bool = False) -> DataFrame:
-    """query_id, rank, vec_id, score (cosine): the k nearest of each query."""
+        return _PAIR.empty_table()
+    a, b = (W.flat(x["code"], np.int8)[0].reshape(-1, width).astype(np.float32) for x in (q, p))
+    a, b = (x / np.sqrt((x * x).sum(1))[:, None] for x in (a, b))
+    names, node = np.asarray(q["node"]), np.asarray(p["node"])
+    at, spot = np.asarray(q["rank"]), np.asarray(p["rank"])
+    out = []
+    for i in range(0, len(a), 512):
+        near = a[i : i + 512] @ b.T
+        near[(np.abs(at[i : i + 512, None] - spot) > window) | (names[i : i + 512, None] == node)] = -2
+        for name, x in zip(names[i : i + 512], near):
+            found = _top(x, node, most)
+            out.append((np.full(len(found), name), node[found], x[found]))
+    return pa.Table.from_batches([_pairs(out)])
+
+
+def _rerank(batches, kind: np.dtype, width: int):
+    """Exact cosines of pairs of vectors; each sum is taken in the same order, so equal vectors score equally."""
+    for batch in batches:
+        a, b = (_units(_read(batch[c], kind, width)) for c in ("asking", "vector"))
+        yield pa.RecordBatch.from_arrays([batch["query"], pa.array((a * b).sum(1)), batch["ids"]], ["query", "score", "ids"])
+
+
+def _ranks(nodes: DataFrame, count: int, kind: np.dtype, width: int, seed: int) -> DataFrame:
+    """(curve, rank, node): each node's place on each curve."""
+    keyed = nodes.select("node", "vector").mapInArrow(lambda it: _keys(it, kind, width, seed), "curve int, key long, node long")
+    ordered = keyed.repartitionByRange(buckets_for(count * CURVES, PART), "curve", "key", "node").sortWithinPartitions("curve", "key", "node")
+    placed = table(ordered.mapInArrow(_place, "curve int, part int, spot long, node long"), "curves")
+    size = placed.groupBy("curve", "part").agg(F.count("*").alias("n"), F.min("spot").alias("low"))  # a partition may hold the end of one curve and the start of the next
+    before = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = size.select("curve", "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("low")).alias("offset"))
+    return table(placed.join(offset, ["curve", "part"]).select("curve", (F.col("spot") + F.col("offset")).alias("rank"), "node"), "ranks")
+
+
+def _measured(nodes: DataFrame, ranks: DataFrame, asked: DataFrame, kind: np.dtype, width: int, k: int, recall: float) -> int:
+    """The width at which the share `recall` of the sample's true neighbours lies in a window."""
+    sample = nodes.join(asked.select(F.col("query").alias("node")).distinct(), "node", "left_semi").orderBy(F.xxhash64("vector"), "node").limit(SAMPLE).select("node", "vector").collect()
+    names = np.array([r[0] for r in sample], np.int64)
+    unit = _units(np.frombuffer(b"".join(r[1] for r in sample), kind).reshape(-1, width).astype(float))
+    found = nodes.select("node", "vector").mapInArrow(lambda it: _scan(it, kind, width, names, unit, k), _PAIR_SQL)
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.col("near").desc(), "node"))
+    pairs = [(r[0], r[1]) for r in found.withColumn("at", best).where(F.col("at") <= k).select("query", "node").collect()]
+    wanted = nodes.sparkSession.createDataFrame([(n,) for n in sorted({*names.tolist(), *(n for _, n in pairs)})], "node long")
+    place: dict[int, dict[int, int]] = {}
+    for r in ranks.join(F.broadcast(wanted), "node").collect():  # at most SAMPLE * (k + 1) nodes
+        place.setdefault(r["node"], {})[r["curve"]] = r["rank"]
+    apart = [min(abs(place[q][c] - place[n][c]) for c in range(CURVES)) for q, n in pairs]
+    return int(np.quantile(apart, recall, method="higher")) if apart else 0
+
+
+def _blocks(first, last, size: int, most: int):
+    """The cuts of `size` ranks that ranks first to last touch."""
+    cut = lambda x: F.floor(F.greatest(F.lit(0), F.least(F.lit(most), x)) / size).cast("int")
+    return F.sequence(cut(first), cut(last))
+
+
+def nearest(vectors: DataFrame, k: int = 5, every: int = 50, seed: int = 10, recall: float = RECALL) -> DataFrame:
+    """query_id, rank, vec_id, score (cosine): the k nearest found of each query (rows whose id is divisible by `every`).
+
+    recall: the share of the true neighbours of a sample of queries that must lie in the windows.
+    """
+    spark, kind = vectors.sparkSession, np.dtype(np.float32 if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else np.float64)
     rows = V.valid(vectors).where(F.exists("embedding", lambda x: x != 0))
-    rows = rows.withColumn("query", F.when(F.col("vec_id") % every == 0, F.xxhash64("embedding")))
-    count = rows.count()
-    numbered = rows.withColumn("row", F.monotonically_increasing_id())  # written once with all curves
-    keyed = numbered.mapInArrow(lambda it: _keys(it, seed), "curve int, key long, row long, vec_id long, query long, embedding array<double>")
-    keyed, found_once = table(keyed, "curves"), ["query_id", "query", "row"]
-    ordered = keyed.repartitionByRange(buckets_for(count * CURVES, PART), "curve", "key", "vec_id").sortWithinPartitions("curve", "key", "vec_id")
-    found = ordered.mapInArrow(lambda it: _windows(it, k, window), _SQL).dropDuplicates(found_once)
-    found = table(V.best(found, k), "found")
-    if windows_only:
-        return found.select("query_id", "rank", "vec_id", "score")
-    bound = found.groupBy(F.col("query_id").alias("vec_id"), "query").agg(F.when(F.count("*") >= k, F.min("score")).alias("bound"))
-    asked = V.queries_of(rows, every)
-    asking = asked.count()
-    asked = table(asked.join(bound, ["vec_id", "query"], "left").withColumn("block", V.block_of(asking)), "asked")
-    first = keyed.where("curve = 0").select("key", "row", "vec_id", "embedding")
-    first = first.repartitionByRange(buckets_for(count, PART), "key", "vec_id").sortWithinPartitions("key", "vec_id").select("row", "vec_id", "embedding")
-    runs = first.mapInArrow(_runs, "run long, row long, vec_id long, embedding array<double>")
-    swept = V.units(asked, runs.withColumn("blocks", V.all_blocks(asking)), ["run"]).groupBy("block", "run").applyInArrow(W.grouped(lambda t: _sweep(t, k)), _SQL)
-    both = found.select("query_id", "query", "row", "vec_id", "score").unionByName(swept)
-    return V.best(both.dropDuplicates(found_once), k).select("query_id", "rank", "vec_id", "score")
+    wide = rows.agg(F.max(F.size("embedding"))).first()[0]
+    if not wide:
+        return spark.createDataFrame([], _RESULT_SQL)
+    once = rows.mapInArrow(lambda it: _distinct(it, kind, wide, k), "vector binary, ids array<struct<id:long,n:long>>")
+    once = once.groupBy("vector").agg(F.flatten(F.collect_list("ids")).alias("all"))
+    times = lambda i: F.aggregate(F.filter("all", lambda x: x["id"] == i), F.lit(0).cast("long"), lambda n, x: n + x["n"])
+    low = F.slice(F.array_sort(F.array_distinct(F.col("all.id"))), 1, k + 1)
+    once = once.select("vector", F.transform(low, lambda i: F.struct(i.alias("id"), F.least(times(i), F.lit(k)).alias("n"))).alias("ids"))
+    nodes = table(once.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    count = nodes.count()
+    asked = rows.where(F.col("vec_id") % every == 0).mapInArrow(lambda it: _asked(it, kind, wide), "query_id long, vector binary").distinct()
+    asked = table(asked.join(nodes.select("vector", F.col("node").alias("query")), "vector").select("query_id", "query"), "asked")
+    ranks = _ranks(nodes, count, kind, wide, seed)
+    window, last = _measured(nodes, ranks, asked, kind, wide, k, recall), count - 1
+    # each node's codes beside its ranks, and whether it asks; then to the chunks
+    spots = ranks.groupBy("node").agg(F.collect_list(F.struct("curve", "rank")).alias("spots"))
+    coded = nodes.select("node", "vector").mapInArrow(lambda it: _codes(it, kind, wide), "node long, code binary").join(spots, "node")
+    queries = asked.select(F.col("query").alias("node")).distinct()
+    flat = lambda df: df.select("node", "code", F.explode("spots").alias("s")).select("node", "code", "s.curve", "s.rank")
+    items, asking = flat(coded), flat(coded.join(queries, "node", "left_semi"))
+    chunk = F.floor(F.col("rank") / CHUNK).cast("int")
+    items = items.withColumns({"chunk": chunk, "is_query": F.lit(False), "block": F.explode(_blocks(chunk * CHUNK - window, chunk * CHUNK + CHUNK - 1 + window, BLOCK, last))})
+    asking = asking.withColumns({"chunk": F.explode(_blocks(F.col("rank") - window, F.col("rank") + window, CHUNK, last)), "is_query": F.lit(True), "block": F.floor(F.col("rank") / BLOCK).cast("int")})
+    most = KEEP * k
+    found = items.unionByName(asking).groupBy("curve", "chunk", "block").applyInArrow(W.grouped(lambda t: _window(t, wide, window, most)), _PAIR_SQL)
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.col("near").desc(), "node"))
+    found = found.groupBy("query", "node").agg(F.max("near").alias("near")).withColumn("at", best).where(F.col("at") <= most)
+    found = found.select("query", "node").union(queries.select("node", "node"))  # a query's own node may hold copies
+    found = table(found, "found")
+    pairs = found.join(nodes.select("node", "vector", "ids"), "node").join(nodes.select(F.col("node").alias("query"), F.col("vector").alias("asking")), "query")
+    scored = pairs.select("query", "asking", "vector", "ids").mapInArrow(lambda it: _rerank(it, kind, wide), "query long, score double, ids array<struct<id:long,n:long>>")
+    per = scored.select("query", F.transform("ids", lambda x: F.struct((-F.col("score")).alias("far"), x["id"].alias("id"), x["n"].alias("n"))).alias("rows"))
+    per = per.groupBy("query").agg(F.array_sort(F.flatten(F.collect_list("rows"))).alias("rows"))  # (KEEP * k + 1) nodes of some ids each
+    others = F.filter("rows", lambda x: x["id"] != F.col("query_id"))
+    copies = F.flatten(F.transform(others, lambda x: F.array_repeat(F.struct(x["id"].alias("vec_id"), (-x["far"]).alias("score")), x["n"].cast("int"))))
+    out = asked.join(per, "query").select("query_id", F.posexplode(F.slice(copies, 1, k)).alias("at", "r"))
+    return out.select("query_id", (F.col("at") + 1).alias("rank"), "r.vec_id", "r.score")

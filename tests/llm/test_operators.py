@@ -3,7 +3,9 @@
 import base64
 import gzip
 import hashlib
+import math
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -400,12 +402,40 @@ def test_exact_topk(vectors, monkeypatch):
     assert exact_topk.exact_topk(df.limit(0)).count() == 0
 
 
+def test_exact_topk_of_any_size(spark, monkeypatch):
+    """Norms of many sizes, components to the end of doubles, scores beyond a long; columns that clash; against Python's integers."""
+    monkeypatch.setattr("loomworks.llm.vectors.BUCKET", 16)
+    monkeypatch.setattr("loomworks.llm.vectors.BLOCK", 3)
+    monkeypatch.setattr(exact_topk, "SLICE", 4)
+    rng = np.random.default_rng(9)
+    data = [(i, (rng.standard_normal(4) * 2.0 ** rng.integers(-4, 6)).tolist()) for i in range(200)]
+    data += [(200 + i, (rng.standard_normal(4) * 10.0**e).tolist()) for i, e in enumerate([*range(12, 22), 100, 200, 305, 308] * 4) if abs(e) < 308]
+    data += [(500, [1e308, -1e308, 1e17, 0.5]), (550, [1e20, 1.0, -1.0, 0.0]), (551, [-1e20, 0.0, 0.0, 0.0])]
+    names = ["norm", "grid", "block", "bound", "query", "most", "chunk", "blocks", "score", "rank"]
+
+    def whole(x):
+        y = min(max(x * 256, -sys.float_info.max), sys.float_info.max)
+        return math.floor(y)
+
+    for part, most in ((data, 2**63 - 1), (data[:200], 2**40)):
+        df = spark.createDataFrame([(*r, *["z"] * len(names)) for r in part], "vec_id long, embedding array<double>, " + ", ".join(f"{n} string" for n in names))
+        ints = [(i, [whole(x) for x in v]) for i, v in part]
+        want = []
+        for q, a in ints:
+            if q % 50 == 0:
+                score = [(min(max(sum(x * y for x, y in zip(a, b)), -(2**63)), 2**63 - 1), i) for i, b in ints if i != q]
+                want += [(q, r + 1, i, s) for r, (s, i) in enumerate(sorted(score, key=lambda t: (-t[0], t[1]))[:5])]
+        assert sorted(tuple(r) for r in exact_topk.exact_topk(df).collect()) == sorted(want)
+        assert 0 < max(s for *_, s in want) <= most
+
+
 def test_nearest(vectors, monkeypatch):
     df, valid = vectors
-    monkeypatch.setattr(curves_ann, "RUN", 32)
+    for name, value in (("PART", 100), ("CHUNK", 32), ("BLOCK", 50)):
+        monkeypatch.setattr(curves_ann, name, value)
     rows_ = [(i, pad(v)) for i, v in valid if np.any(pad(v))]
     got = defaultdict(list)
-    for r in curves_ann.nearest(df).collect():
+    for r in curves_ann.nearest(df, recall=1.0).collect():  # all queries are in the sample, so all neighbours are in windows
         got[r.query_id].append((r["rank"], r.vec_id, r.score))
     for q, a in dict((i, v) for i, v in rows_ if i % 50 == 0).items():
         cos = sorted((-round(float(a @ b / np.linalg.norm(a) / np.linalg.norm(b)), 12), i) for i, b in rows_ if i != q)[:5]
@@ -416,13 +446,13 @@ def test_nearest(vectors, monkeypatch):
 
 def test_nearest_counts_copies(spark, monkeypatch):
     """Copies of a row each count, and push no other row out of the k best for nothing."""
-    monkeypatch.setattr(curves_ann, "RUN", 32)
+    monkeypatch.setattr(curves_ann, "CHUNK", 32)
     rng = np.random.default_rng(4)
     data = [(i, rng.standard_normal(6).tolist()) for i in range(200)]
     data += [r for r in data if r[0] % 3 == 0 for _ in range(r[0] % 5)]
     cos = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
     want = [(q, k + 1, i) for q, a in data[:200:50] for k, (_, i) in enumerate(sorted((-cos(a, b), i) for i, b in data if i != q)[:5])]
-    got = curves_ann.nearest(spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3))
+    got = curves_ann.nearest(spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3), recall=1.0)
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in got.collect()) == want
     assert len(set((q, i) for q, _, i in want)) < len(want)
 
@@ -436,10 +466,41 @@ def test_windows_alone_find_clusters(spark):
     unit /= np.linalg.norm(unit, axis=1)[:, None]
     cos = unit @ unit.T
     np.fill_diagonal(cos, -2)
-    hits = sum(r.vec_id in np.argsort(-cos[r.query_id])[:5] for r in curves_ann.nearest(df, windows_only=True).collect())
+    hits = sum(r.vec_id in np.argsort(-cos[r.query_id])[:5] for r in curves_ann.nearest(df).collect())
     assert hits / (16 * 5) >= 0.9
 
 
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_recall_on_the_test_table(spark, monkeypatch, sf):
+    """Of the windows, against brute force on all queries, with windows set from few of them and cut by many edges."""
+    for name, value in (("SAMPLE", 20), ("PART", 700), ("CHUNK", 256), ("BLOCK", 512)):
+        monkeypatch.setattr(curves_ann, name, value)
+    df = spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet").where("embedding is not null")
+    data = df.collect()
+    ids, unit = np.array([r.vec_id for r in data]), np.array([r.embedding for r in data])
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    got = defaultdict(set)
+    for r in curves_ann.nearest(df).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = wanted = 0
+    for i in np.flatnonzero(ids % 50 == 0):
+        cos = unit @ unit[i]
+        cos[i] = -2
+        hits, wanted = hits + len(got[ids[i]] & set(ids[np.argsort(-cos)[:5]].tolist())), wanted + 5
+    assert hits >= 0.9 * wanted
+
+
+def test_windows_cross_partitions(spark, monkeypatch):
+    """A query finds a neighbour at the next rank, whatever partition, chunk or block either is in."""
+    for name, value in (("PART", 16), ("CHUNK", 7), ("BLOCK", 11)):
+        monkeypatch.setattr(curves_ann, name, value)
+    data = [(50 * i + j, [float(np.cos(i / 7)), float(np.sin(i / 7) + j * 1e-4)]) for i in range(40) for j in (0, 1)]
+    names = ["curve", "part", "spot", "rank", "node", "code", "query", "ids", "vector", "chunk", "block", "score"]
+    df = spark.createDataFrame([(*r, *["z"] * len(names)) for r in data], "vec_id long, embedding array<double>, " + ", ".join(f"{n} string" for n in names))
+    got = curves_ann.nearest(df, k=1)
+    assert sorted((r.query_id, r.vec_id) for r in got.collect()) == [(50 * i, 50 * i + 1) for i in range(40)]
+
+
 def test_hilbert_is_a_path():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 2, indexing="ij"), -1).reshape(-1, 2)
     key = curves_ann.hilbert(cells, 3)
