@@ -8,15 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import python_code
 from .functions import text as T
 from .operators import chatml, dedup, filters, ranking, ratings
 from .plans import stages
+from .sources import jsonl
 from .sources.backends import StubBackend
 from .sources.jsonl import read_table
+from .sources.scratch import fresh_path
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -87,11 +89,11 @@ def key_union(spark, sf):
 
 
 @_query("""SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN lang END, nullif(CASE WHEN doc_id % 3 = 1 THEN source ELSE '' END, ''), '') AS prompt,
-  CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 40) ELSE '' END AS code FROM documents""")
+  CASE WHEN doc_id % 2 = 0 THEN text ELSE '' END AS code FROM documents""")
 def normalize_record(spark, sf):
     d = read_table(spark, sf, "documents")
     prompt = T.first_filled(F.when(F.col("doc_id") % 3 == 0, F.col("lang")), F.when(F.col("doc_id") % 3 == 1, F.col("source")).otherwise(""))
-    code = T.first_filled(F.lit(None).cast("string"), F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 40)))
+    code = T.first_filled(F.lit(None).cast("string"), F.when(F.col("doc_id") % 2 == 0, F.col("text")))
     return d.select("doc_id", prompt.alias("prompt"), code.alias("code"))
 
 
@@ -143,7 +145,7 @@ def completion_names(spark, sf):
 # --- filters ---------------------------------------------------------------------------------------------------------------
 
 _NAMES_SQL = """WITH n AS (SELECT 'p' || p_partkey AS id, replace(p_name, ' ', '_') AS name FROM part UNION ALL SELECT 'c' || c_custkey, c_name FROM customer
-  UNION ALL SELECT 'e' || event_id, event_type FROM events WHERE event_id % 10 = 0),
+  UNION ALL SELECT 'e' || event_id, event_type FROM events),
 f AS (SELECT id, name, CASE WHEN NOT regexp_matches(trim(name), '^[a-z_][a-z0-9_]{2,64}$') THEN 'regex' WHEN lower(name) IN ('click', 'view') THEN 'weaklist' END AS failed FROM n)
 """
 
@@ -152,7 +154,7 @@ def _names(spark, sf) -> DataFrame:
     part, customer, events = (read_table(spark, sf, t) for t in ("part", "customer", "events"))
     ids = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string")).alias("id")
     rows = part.select(ids("p", "p_partkey"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("name")).union(customer.select(ids("c", "c_custkey"), "c_name"))
-    return rows.union(events.where("event_id % 10 = 0").select(ids("e", "event_id"), "event_type"))
+    return rows.union(events.select(ids("e", "event_id"), "event_type"))
 
 
 @_query(_NAMES_SQL + "SELECT id, name FROM f WHERE failed IS NULL")
@@ -171,12 +173,6 @@ def code_length_filter(spark, sf):
     return read_table(spark, sf, "documents").select("doc_id", long(False).alias("raw_ok"), long(True).alias("stripped_ok"))
 
 
-@_query("SELECT event_id, json_extract_string(props, '$.k') AS k, list_contains(json_keys(props), 'k') AS present FROM events")
-def json_presence(spark, sf):
-    e = read_table(spark, sf, "events")
-    return e.select("event_id", F.get_json_object("props", "$.k").alias("k"), F.array_contains(F.json_object_keys("props"), "k").alias("present"))
-
-
 # --- candidates, perplexity, top-k ------------------------------------------------------------------------------------------------
 
 
@@ -203,6 +199,120 @@ def logprob_perplexity(spark, sf):
     return read_table(spark, sf, "embeddings").select("vec_id", F.round(T.logprob_perplexity(F.col("embedding")), 6).alias("ppl"))
 
 
+# --- scans and sinks: lines made from a table are written, and read back by each policy ------------------------------------------------------
+
+
+def _written(df: DataFrame, line: Column) -> str:
+    """A fresh folder of text files with one line a row."""
+    path = fresh_path(df.sparkSession, "lines")
+    df.select(line.alias("value")).write.text(path)
+    return path
+
+
+def _json(**fields: Column) -> Column:
+    """A JSON object with all its keys, those of nulls too."""
+    return F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]), {"ignoreNullFields": "false"})
+
+
+def _texts() -> tuple[Column, Column, Column]:
+    """doc_id as text, text and source."""
+    return F.col("doc_id").cast("string"), F.col("text"), F.col("source")
+
+
+def _odd(line: Column) -> Column:
+    """Every seventh line blank, every seventh of spaces, every seventh no JSON, the others as they are."""
+    k = F.col("doc_id") % 7
+    return F.when(k == 0, "").when(k == 1, " \t ").when(k == 2, F.concat(F.lit("{bad "), F.col("lang"))).otherwise(line)
+
+
+@_query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE list_contains(json_keys(props), 'k') AND event_id % 3 <> 0")
+def json_presence(spark, sf):
+    """Lines without the required key are dropped."""
+    line = F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"), F.lit(", "), F.when(F.col("event_id") % 3 == 0, F.replace("props", F.lit('"k"'), F.lit('"j"'))).otherwise(F.col("props")).substr(F.lit(2), F.length("props")))
+    return jsonl.read_jsonl(spark, _written(read_table(spark, sf, "events"), line), "event_id long, k string", "skip", ("k",)).select("event_id", "k")
+
+
+@_query("""SELECT doc_id::VARCHAR AS uid, CASE WHEN doc_id % 7 = 4 THEN 'UNKNOWN' ELSE source END AS source, CASE WHEN doc_id % 7 <> 5 THEN text END AS problem_text FROM documents WHERE doc_id % 7 >= 4""")
+def scan_problems(spark, sf):
+    uid, text, source = _texts()
+    k = F.col("doc_id") % 7
+    line = F.when(k == 3, _json(uid=uid, other=text)).when(k == 4, _json(uid=uid, problem_description=text)).otherwise(_json(uid=uid, source=source, problem_description=F.when(k != 5, text)))
+    path = _written(read_table(spark, sf, "documents"), _odd(line))
+    return jsonl.read_problems(spark, path).select("uid", "source", "problem_text")
+
+
+@_query("""SELECT doc_id::VARCHAR AS uid, CASE WHEN doc_id % 2 = 1 THEN lang ELSE text END AS prompt, source AS code, 2 AS extra FROM documents""")
+def scan_samples(spark, sf):
+    uid, text, source = _texts()
+    line = _json(uid=uid, prompt=F.when(F.col("doc_id") % 2 == 1, F.col("lang")).otherwise(""), docstring=text, solution=source, k=F.col("doc_id"))
+    rows = jsonl.read_samples(spark, _written(read_table(spark, sf, "documents"), line))
+    return rows.select(F.col("meta")["uid"].alias("uid"), "prompt", "code", F.size("meta").alias("extra"))
+
+
+@_query("""SELECT doc_id::VARCHAR AS uid, coalesce(CASE WHEN doc_id % 7 <> 6 THEN source END, 'UNKNOWN') AS source, text AS problem_text, lang AS skeleton_code, 'f' || doc_id AS function_name
+  FROM documents WHERE doc_id % 7 IN (3, 6)""")
+def scan_skeletons(spark, sf):
+    uid, text, source = _texts()
+    k = F.col("doc_id") % 7
+    whole = {"uid": uid, "problem_text": text, "skeleton_code": F.col("lang"), "function_name": F.concat(F.lit("f"), uid)}
+    line = F.when(k == 3, _json(**whole, source=source, valid=F.lit(True))).when(k == 4, _json(**whole, source=source, valid=F.lit(False))).when(k == 5, _json(uid=uid, problem_text=text)).otherwise(_json(**whole))
+    return jsonl.read_skeletons(spark, _written(read_table(spark, sf, "documents"), _odd(line))).select("uid", "source", "problem_text", "skeleton_code", "function_name")
+
+
+@_query("""SELECT CASE WHEN doc_id % 2 = 0 THEN doc_id::VARCHAR ELSE '' END AS uid, CASE WHEN doc_id % 2 = 0 THEN source ELSE 'UNKNOWN' END AS source, CASE WHEN doc_id % 2 = 0 THEN text ELSE '' END AS problem_text,
+  lang AS code, '' AS function_name FROM documents""")
+def scan_implementations(spark, sf):
+    uid, text, source = _texts()
+    line = F.when(F.col("doc_id") % 2 == 0, _json(uid=uid, source=source, problem_text=text, code=F.col("lang"))).otherwise(_json(code=F.col("lang"), problem_text=F.lit(None).cast("string")))
+    return jsonl.read_implementations(spark, _written(read_table(spark, sf, "documents"), line)).select("uid", "source", "problem_text", "code", "function_name")
+
+
+@_query("""SELECT doc_id::VARCHAR AS uid, CASE WHEN doc_id % 2 = 0 THEN 'FIM' ELSE 'L2R' END AS mode, 1 + quality AS correctness, CASE WHEN doc_id % 5 <> 0 THEN 4 END AS readability FROM labels WHERE doc_id % 7 <> 3""")
+def scan_ratings(spark, sf):
+    """Two files of ratings, and both as one table by mode."""
+    labels, uid = read_table(spark, sf, "labels"), F.col("doc_id").cast("string")
+    scores = F.struct((1 + F.col("quality")).alias("correctness"), F.when(F.col("doc_id") % 5 != 0, 4).alias("readability"))
+    line = F.when(F.col("doc_id") % 7 == 3, _json(uid=uid)).otherwise(_json(uid=uid, ratings=scores))
+    both = [jsonl.read_ratings(spark, _written(labels.where(F.col("doc_id") % 2 == i), line)) for i in (0, 1)]
+    return ratings.by_mode(*both).select("uid", "mode", "ratings.correctness", "ratings.readability")
+
+
+@_query("SELECT doc_id % 7 = 2 AS json_error, CASE WHEN doc_id % 7 <> 2 THEN doc_id::VARCHAR END AS uid, CASE WHEN doc_id % 7 <> 2 THEN text END AS code FROM documents WHERE doc_id % 7 >= 2")
+def scan_rated_lines(spark, sf):
+    uid, text, source = _texts()
+    path = _written(read_table(spark, sf, "documents"), _odd(_json(uid=uid, code=text)))
+    return jsonl.read_rated_lines(spark, path).select("json_error", "uid", "code")
+
+
+@_query("SELECT DISTINCT sha256(text)[:16] AS uid FROM (SELECT text FROM documents UNION ALL SELECT text FROM benchmark)")
+def scan_keys(spark, sf):
+    """Keys of two runs, appended to one file, then read."""
+    path = fresh_path(spark, "keys")
+    for t in ("documents", "benchmark"):
+        jsonl.write_keys(read_table(spark, sf, t).select(T.uid16(F.col("text")).alias("uid")), path)
+    return jsonl.read_keys(spark, path)
+
+
+@_query("SELECT doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 3 <> 0 THEN lang END AS lang, text, 3 AS keys FROM documents")
+def sink_jsonl(spark, sf):
+    """Whole texts written and read back; nulls keep their keys."""
+    path = fresh_path(spark, "sink")
+    jsonl.write_jsonl(read_table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("lang"), "text"), path)
+    entry = F.from_json("value", "map<string,string>")
+    return jsonl.read_lines(spark, path).select(entry["doc_id"].alias("doc_id"), entry["lang"].alias("lang"), entry["text"].alias("text"), F.size(entry).alias("keys"))
+
+
+@_query(f"SELECT doc_id, trim(replace(replace(text, chr(13), ' '), chr(10), ' '), {_WS}) AS value FROM documents WHERE trim(text, {_WS}) <> ''")
+def scan_lines(spark, sf):
+    """Lines in the order of their file: the n-th that is read is the n-th that was written."""
+    docs = read_table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "[\r\n]", " ").alias("line")).where(T.strip(F.col("line")) != "")
+    path = fresh_path(spark, "ordered")
+    ordered = docs.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
+    ordered.select(F.concat(F.lit("  "), "line").alias("value")).write.text(path)
+    at = lambda df, *by: df.withColumn("at", F.row_number().over(Window.orderBy(*by)))
+    return at(jsonl.read_lines(spark, path), *jsonl.ORDER).join(at(docs.select("doc_id"), "doc_id"), "at").select("doc_id", "value")
+
+
 # --- ratings -------------------------------------------------------------------------------------------------------------------------
 
 _RATED_SQL = """WITH s AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'FIM' ELSE 'L2R' END AS mode, quality * 3 + 1 + doc_id % 2 AS problem_design, doc_id % 7 AS function_definition,
@@ -354,20 +464,23 @@ def body_checks(spark, sf):
     return _bodies(spark, sf).select("doc_id", T.has_code(F.col("body")).alias("has_code"), (~T.starts_with_def(F.col("body"))).alias("format_ok"))
 
 
-@_query(f"SELECT doc_id, trim(substr(text, 1, 30), {_WS}) AS text FROM documents")
+@_query(rf"SELECT doc_id, trim(regexp_replace(text, '(?s)(^|\n)\s*Hint:.*$', ''), {_WS}) AS text FROM documents")
 def remove_hint(spark, sf):
-    hinted = F.concat(F.substring("text", 1, 30), F.lit("\n  Hint: "), F.col("source"), F.lit("\nmore"))
+    hinted = F.concat(F.col("text"), F.lit("\n  Hint: "), F.col("source"), F.lit("\nmore"))
     return read_table(spark, sf, "documents").select("doc_id", T.drop_hint(hinted).alias("text"))
 
 
 # --- chat records ----------------------------------------------------------------------------------------------------------------------
 
 
-@_query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text) AS transcript, count(*) AS turns FROM conversations GROUP BY conv_id")
-def chat_transcripts(spark, sf):
-    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    rows = read_table(spark, sf, "conversations").groupBy("conv_id").agg(turns.alias("t"), F.count("*").alias("turns"))
-    return rows.select("conv_id", F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n").alias("transcript"), "turns")
+@_query("""SELECT conv_id, turn, text AS user_content, answer AS assistant_content FROM (
+  SELECT *, lead(role) OVER w AS follower, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)) WHERE role = 'user' AND follower = 'assistant'""")
+def chat_pairs(spark, sf):
+    """Each question with its answer as a chat record's messages."""
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = read_table(spark, sf, "conversations").withColumns({"follower": F.lead("role").over(w), "answer": F.lead("text").over(w)})
+    pairs = rows.where("role = 'user' AND follower = 'assistant'").select("conv_id", "turn", chatml.messages(F.col("text"), F.col("answer")).alias("m"))
+    return pairs.select("conv_id", "turn", F.col("m")[0]["content"].alias("user_content"), F.col("m")[1]["content"].alias("assistant_content"))
 
 
 def _records(spark, sf) -> DataFrame:
@@ -400,12 +513,12 @@ def _skeleton_answer(prompt: str, attempt: int) -> str:
     return f"\ndef f_{len(prompt) % 50}(x):\n    pass\n" if len(prompt) % 5 else "def broken(:"
 
 
-@_query(f"""WITH d AS (SELECT doc_id, 2 + length(trim(text, {_WS})) AS n FROM documents ORDER BY doc_id LIMIT 500),
+@_query(f"""WITH d AS (SELECT doc_id, 2 + length(trim(text, {_WS})) AS n FROM documents),
 k AS (SELECT doc_id, n, CASE WHEN n % 5 = 0 THEN 'invalid_syntax' WHEN row_number() OVER (PARTITION BY n % 50 ORDER BY doc_id) > 1 THEN 'duplicate' ELSE 'kept' END AS status FROM d)
 SELECT doc_id, status, CASE WHEN n % 5 <> 0 THEN 'f_' || (n % 50) END AS function_name FROM k""")
 def stage_skeletons(spark, sf):
     rows = read_table(spark, sf, "documents").select("doc_id", F.col("text").alias("problem_text"), "source")
-    done = stages.skeletons(rows, "P:{{problem}}", lambda: StubBackend(_skeleton_answer), ("doc_id",), limit=500)
+    done = stages.skeletons(rows, "P:{{problem}}", lambda: StubBackend(_skeleton_answer), ("doc_id",))
     return done.select("doc_id", "status", F.when(F.col("status") != "invalid_syntax", F.col("function_name")).alias("function_name"))
 
 

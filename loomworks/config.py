@@ -1,12 +1,17 @@
-"""Configuration (SRC12-SRC14, JN7, EXT14): nested dictionaries from YAML, on the driver only."""
+"""Configuration (SRC12-SRC14, JN7, EXT14, STG10): nested dictionaries from YAML, on the driver only, and what they set."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from pathlib import Path
 from typing import Any
 
 import yaml
+from pyspark.sql import Column
+
+from .functions import text as T
+from .operators.filters import MIN_CODE, NAME_PATTERN, FilterChain
+from .sources.backends import Backend, Calls, HttpBackend, Sampling, StubBackend
 
 
 def merged(base: Mapping, over: Mapping) -> dict:
@@ -68,5 +73,61 @@ def client_settings(config: Config) -> dict:
         "prefix_key": ("api.fim.prefix_key", "prefix"),
         "suffix_key": ("api.fim.suffix_key", "suffix"),
         "max_concurrent": ("api.concurrency.max_concurrent_requests", 10),
+        "rate_limit_per_second": ("api.concurrency.rate_limit_per_second", None),
     }
     return {k: config.get(path, default) for k, (path, default) in table.items()}
+
+
+def backend_of(config: Config) -> Callable[[Sampling], Backend]:
+    """What makes the backend of a stage: an HTTP one where a model is named, else the stand-in."""
+    s = client_settings(config)
+    if not s["model"]:
+        return lambda sampled: StubBackend(stop=sampled.stop)
+    url, model, rest = s["base_url"], s["model"], (s["api_key"] or "EMPTY", s["timeout_s"], s["use_chat_for_fim"], s["prefix_key"], s["suffix_key"])
+    return lambda sampled: HttpBackend(url, model, sampled, *rest)
+
+
+def call_settings(config: Config) -> Calls:
+    """EXT8, EXT9, EXT14: retries and limits of a job's requests."""
+    s = client_settings(config)
+    return Calls(concurrent=int(s["max_concurrent"]), retries=int(s["max_retries"]), per_second=s["rate_limit_per_second"])
+
+
+# Each stage's section of the configuration, what its sampling falls back to, and rows between two flushes.
+SECTIONS = {"problems": "namegen", "skeletons": "skeleton", "code": "codegen", "ratings": "rating"}
+SAMPLING = {
+    "problems": Sampling(1.0, 0.95, 2048, ("---",)),
+    "skeletons": Sampling(0.7, 0.95, 512),
+    "code": Sampling(0.7, 0.95, 1024, ("\n\ndef ", "\n\nclass ")),
+    "ratings": Sampling(0.3, 0.9, 1024),
+}
+FLUSH = 50
+
+
+def sampling(config: Config, stage: str) -> Sampling:
+    """STG10: the parameters of a stage's requests."""
+    section, base = config.section(SECTIONS[stage]), SAMPLING[stage]
+    return Sampling(float(section.get("temperature", base.temperature)), float(section.get("top_p", base.top_p)), int(section.get("max_tokens", base.max_tokens)), tuple(section.get("stop", base.stop) or ()))
+
+
+def problem_prompt(config: Config, mode: str) -> Column:
+    """FN6, FN7, FN12: the prompt of the problems stage."""
+    if mode != "FIM":
+        return T.l2r_prompt(config.get("prompts.funcname.l2r.prompt", T.FUNCTION_HEAD))
+    parts = [config.get(f"prompts.funcname.fim.{k}", d) for k, d in (("prefix", T.FUNCTION_HEAD), ("suffix", T.FUNCTION_TAIL))]
+    tokens = [config.get(f"api.fim.{k}_token", d) for k, d in zip(("prefix", "suffix", "middle"), T.FIM_TOKENS)]
+    return T.fim_prompt(*parts, tuple(tokens))
+
+
+def chat_settings(config: Config) -> dict:
+    """STG6: thresholds, how they combine, and the fields of a chat record; without a configuration the shipped ones."""
+    shown = {"thresholds": config.get("filter.min_ratings"), "require_all": config.get("filter.require_all_above_threshold"), "fields": config.get("output.fields")}
+    found = {k: v for k, v in shown.items() if v is not None}
+    return found | ({"fields": tuple(found["fields"])} if "fields" in found else {})
+
+
+def filter_chain(config: Config, kind: str) -> FilterChain:
+    """FLT1-FLT6: the chain for names or for code."""
+    if kind == "names":
+        return FilterChain.for_names(config.get("filters.name_regex", NAME_PATTERN), config.get("namegen.weaklist"))
+    return FilterChain.for_code(int(config.get("filters.min_code_len", MIN_CODE)))

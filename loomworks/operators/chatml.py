@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.python_code import split_function
+from ..functions.python_code import signature_and_body, split_function
 from .filters import meets_thresholds
 
 # Thresholds of the shipped configuration.
@@ -42,6 +43,20 @@ def chat_records(records: DataFrame, thresholds: Mapping[str, int] = THRESHOLDS,
     return done.select(*[f for f in fields if f in done.columns])
 
 
+def chat_record(record: Mapping, thresholds: Mapping[str, int] = THRESHOLDS, require_all: bool = True, fields: Sequence[str] = FIELDS) -> dict | None:
+    """STG6r: the chat record of one rated sample, on the driver, by the same rules; None if it fails one of them."""
+    scores = record.get("ratings") or {}
+    reached = [(scores.get(d) or 0) >= t for d, t in thresholds.items()]
+    if reached and not (all if require_all else any)(reached):
+        return None
+    signature, body = signature_and_body(record.get("code") or "")
+    if not signature or not body:
+        return None
+    asked = re.sub(r"(?:^|(?<=\n))\s*Hint:.*\Z", "", record.get("problem_text") or "", flags=re.S).strip()
+    turns = [{"role": "user", "content": f"{asked}\n\n{signature}"}, {"role": "assistant", "content": body}]
+    return {f: v for f in fields for k, v in (("uid", record.get("uid")), ("messages", turns), ("ratings", scores)) if f == k}
+
+
 def conversion_stats(status: DataFrame) -> DataFrame:
     """AGG9, AGG10: total, converted, filtered_quality, failed_parse, success_rate (percent)."""
     n = lambda *s: F.count_if(F.col("status").isin(*s))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import ranking
 
 
 def first_wins(df: DataFrame, key: str, *order: str | Column) -> DataFrame:
@@ -40,5 +41,5 @@ def duplicate_counters(df: DataFrame, text: str) -> DataFrame:
 
 
 def first_rows(df: DataFrame, n: int | None, *order: str | Column) -> DataFrame:
-    """SRT3, SRT4, SRT7: the first n by `order` (all, for None)."""
-    return df if n is None else df.orderBy(*order).limit(n)
+    """SRT3, SRT4, SRT7: the first n by `order` (all, for None), in the partitions of a sorted table, not in one."""
+    return df if n is None else ranking.first_of(df, n, *order)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import table
 from .filters import code_long_enough
 
 #: Fixed value: where a row without a perplexity sorts.
@@ -17,10 +18,23 @@ def by_perplexity(df: DataFrame, *ties: str | Column, column: str = "ppl") -> Da
     return df.orderBy(F.coalesce(F.col(column), F.lit(MISSING)), *ties)
 
 
+def first_of(df: DataFrame, n: int, *order: str | Column) -> DataFrame:
+    """The first n rows by `order`, cut exactly, without a task for all of them.
+
+    The rows are sorted into range partitions and written; counts of the partitions say how many of each belong to the first n.
+    """
+    spot = {"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}
+    rows = table(df.orderBy(*order).withColumns(spot), "sorted")
+    size = rows.groupBy("_part").agg(F.count("*").alias("n"), F.min("_at").alias("low"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    size = size.select("_part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("low")).alias("_before"))
+    return rows.join(size, "_part").where(F.col("_before") + F.col("_at") < n).drop("_part", "_at", "_before")
+
+
 def keep_best(df: DataFrame, ratio: float, *ties: str | Column, column: str = "ppl") -> DataFrame:
-    """SRT2: the best max(1, floor(n * ratio)) rows.  A count, then a top-k: no task sees all rows, nothing is collected."""
+    """SRT2: the best max(1, floor(n * ratio)) rows; no task sees more than a range of them."""
     n = df.count()
-    return by_perplexity(df, *ties, column=column).limit(max(1, int(n * ratio)) if n else 0)
+    return first_of(df, max(1, int(n * ratio)) if n else 0, F.coalesce(F.col(column), F.lit(MISSING)), *ties)
 
 
 def filter_and_keep(df: DataFrame, ratio: float = 0.5, least: int = 16, *ties: str | Column) -> DataFrame:

@@ -7,29 +7,37 @@ read again.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import FLUSH, SECTIONS, Config, call_settings, chat_settings, problem_prompt, sampling
 from ..operators import chatml, ratings
 from ..sources import jsonl
-from ..sources.backends import Backend
+from ..sources.backends import Backend, Calls, Sampling
+from ..sources.scratch import delete
 from . import stages
 
 #: Templates in use unless the configuration has its own.
 TEMPLATES = {
-    "skeleton": "Write the signature and docstring of one Python function for this problem.\n\n{{problem}}\n",
+    "skeletons": "Write the signature and docstring of one Python function for this problem.\n\n{{problem}}\n",
     "code": "Write the body of the function.\n\nProblem:\n{{problem}}\n\nFunction:\n{{skeleton}}\n",
-    "rating": "Rate the code from 1 to 5 in five dimensions and sum up.\n\nProblem:\n{{problem_text}}\n\nCode:\n{{code}}\n",
+    "ratings": "Rate the code from 1 to 5 in five dimensions and sum up.\n\nProblem:\n{{problem_text}}\n\nCode:\n{{code}}\n",
 }
 
 
 class Runner:
-    """Stages over <base>/<mode>/<stage>.jsonl."""
+    """Stages over <base>/<mode>/<stage>.jsonl, with the parameters that the configuration has for each.
 
-    def __init__(self, spark: SparkSession, base: str, backend: Callable[[], Backend], templates: dict[str, str] | None = None):
-        self.spark, self.base, self.backend, self.templates = spark, base.rstrip("/"), backend, TEMPLATES | (templates or {})
+    backend: makes a backend for a stage's sampling.  Answers are kept beside the output until a stage's rows are appended: a run
+    that dies is taken up by running the same again, and asks only for what no finished task has an answer to.
+    """
+
+    def __init__(self, spark: SparkSession, base: str, backend: Callable[[Sampling], Backend], config: Config | None = None, calls: Calls | None = None):
+        self.spark, self.base, self.backend, self.config = spark, base.rstrip("/"), backend, config or Config()
+        self.calls = calls or call_settings(self.config)
 
     def path(self, mode: str, stage: str) -> str:
         return f"{self.base}/{mode.lower()}/{stage}.jsonl"
@@ -38,32 +46,47 @@ class Runner:
         path = self.path(mode, stage)
         return jsonl.read_jsonl(self.spark, path, "uid string", "skip").select("uid").distinct() if jsonl.exists(self.spark, path) else None
 
-    def _append(self, staged: DataFrame, mode: str, stage: str) -> dict[str, int]:
-        """Writes all statuses once, then appends the kept rows; returns the counters."""
-        at = f"{self.path(mode, stage)}.staged"
+    def setting(self, stage: str, name: str, default):
+        return self.config.get(f"{SECTIONS[stage]}.{name}", default)
+
+    def template(self, stage: str) -> str:
+        return self.config.get(f"prompts.{SECTIONS[stage]}.template") or TEMPLATES[stage]
+
+    def _run(self, mode: str, stage: str, output: str, make: Callable[..., DataFrame]) -> dict[str, int]:
+        """Writes all statuses once, then appends the kept rows and drops the answers; returns the counters."""
+        target = self.path(mode, output)
+        at, log, sampled = f"{target}.staged", f"{target}.answers", sampling(self.config, stage)
+        calls, make_backend = replace(self.calls, log=log, flush=int(self.setting(stage, "batch_write_size", FLUSH))), self.backend
+        staged = make(backend=lambda: make_backend(sampled), seen=self.seen(mode, output), calls=calls)
         staged.write.mode("overwrite").parquet(at)
         done = self.spark.read.parquet(at)
         drop = [c for c in ("id", *jsonl.ORDER) if c in done.columns]
         kept = stages.kept(done)
-        kept.orderBy(*drop).drop(*drop).write.mode("append").option("ignoreNullFields", "false").json(self.path(mode, stage))
-        return dict(stages.counters(done).collect())
+        kept.orderBy(*drop).drop(*drop).write.mode("append").option("ignoreNullFields", "false").json(target)
+        counted = dict(stages.counters(done).collect())
+        delete(self.spark, log)
+        return counted
 
-    def problems(self, mode: str, n: int) -> dict[str, int]:
-        return self._append(stages.problems(self.spark, mode, n, self.backend, self.seen(mode, "problems")), mode, "problems")
+    def problems(self, mode: str, n: int | None = None) -> dict[str, int]:
+        n = int(self.setting("problems", "num_samples", 100)) if n is None else n
+        prompt = problem_prompt(self.config, mode)
+        return self._run(mode, "problems", "problems", lambda **k: stages.problems(self.spark, mode, n, prompt=prompt, **k))
 
     def skeletons(self, mode: str, n: int | None = None) -> dict[str, int]:
-        rows = jsonl.read_problems(self.spark, self.path(mode, "problems")).drop("raw_text")
-        return self._append(stages.skeletons(rows, self.templates["skeleton"], self.backend, jsonl.ORDER, self.seen(mode, "skeletons"), n), mode, "skeletons")
+        rows = jsonl.read_problems(self.spark, self.path(mode, "problems"), self.config.get("io.source.problem_text_key", "problem_description")).drop("raw_text")
+        return self._run(mode, "skeletons", "skeletons", lambda **k: stages.skeletons(rows, self.template("skeletons"), order=jsonl.ORDER, limit=n, **k))
 
     def code(self, mode: str, n: int | None = None) -> dict[str, int]:
         rows = jsonl.read_skeletons(self.spark, self.path(mode, "skeletons"), skip_invalid=False)
-        return self._append(stages.implementations(rows, self.templates["code"], self.backend, jsonl.ORDER, self.seen(mode, "implementations"), n), mode, "implementations")
+        validate = bool(self.setting("code", "validate_syntax", True))
+        return self._run(mode, "code", "implementations", lambda **k: stages.implementations(rows, self.template("code"), order=jsonl.ORDER, limit=n, validate=validate, **k))
 
     def ratings(self, mode: str, n: int | None = None) -> dict[str, int]:
         rows = jsonl.read_implementations(self.spark, self.path(mode, "implementations"))
-        return self._append(stages.rated(rows, self.templates["rating"], self.backend, jsonl.ORDER, self.seen(mode, "ratings"), n), mode, "ratings")
+        checks = {"validate": bool(self.setting("ratings", "validate_scores", True)), "low": int(self.setting("ratings", "min_score", 1)), "high": int(self.setting("ratings", "max_score", 5))}
+        return self._run(mode, "ratings", "ratings", lambda **k: stages.rated(rows, self.template("ratings"), order=jsonl.ORDER, limit=n, **checks, **k))
 
-    def full(self, mode: str, n: int) -> dict[str, dict[str, int]]:
+    def full(self, mode: str, n: int | None = None) -> dict[str, dict[str, int]]:
         """STG11: problems, skeletons and code."""
         return {"problems": self.problems(mode, n), "skeletons": self.skeletons(mode), "code": self.code(mode)}
 
@@ -78,9 +101,9 @@ class Runner:
         ratings.plots(stats, ratings.histogram(scored), folder)
         return text
 
-    def convert(self, mode: str, thresholds: dict[str, int] = chatml.THRESHOLDS, require_all: bool = True, fields: tuple[str, ...] = chatml.FIELDS) -> dict:
+    def convert(self, mode: str) -> dict:
         """STG6: chat records in input order, and the conversion's counters."""
-        return convert_file(self.spark, self.path(mode, "ratings"), self.path(mode, "chatml"), thresholds, require_all, fields)
+        return convert_file(self.spark, self.path(mode, "ratings"), self.path(mode, "chatml"), **chat_settings(self.config))
 
 
 def convert_file(spark: SparkSession, source: str, target: str, thresholds: dict[str, int] = chatml.THRESHOLDS, require_all: bool = True, fields: tuple[str, ...] = chatml.FIELDS) -> dict:
