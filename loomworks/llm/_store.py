@@ -3,24 +3,14 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset in a local session, one of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="loomworks-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root}/loomworks/{spark.sparkContext.applicationId}"
+from ..sources.scratch import delete, shared_folder
 
 
 _scopes: list[str] = []
@@ -37,7 +27,7 @@ def scratch(spark: SparkSession):
     try:
         yield
     finally:
-        _delete(spark, f"{shared_folder(spark)}/{_scopes.pop()}")
+        delete(spark, f"{shared_folder(spark)}/{_scopes.pop()}")
 
 
 def table(df: DataFrame, name: str, codec: str = "zstd", path: str | None = None) -> DataFrame:
@@ -49,12 +39,7 @@ def table(df: DataFrame, name: str, codec: str = "zstd", path: str | None = None
 
 def drop_tables(spark: SparkSession) -> None:
     """Removes all that this application has written to the shared folder."""
-    _delete(spark, shared_folder(spark))
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    delete(spark, shared_folder(spark))
 
 
 def buckets_for(rows: int, rows_per_bucket: int) -> int:
@@ -92,3 +77,27 @@ def hidden(df: DataFrame, *shown: str) -> DataFrame:
 def restored(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
     """The hidden columns under their own names again, those in `changed` with new values."""
     return df.select(*[changed.get(c, F.col(f"_c{i}")).alias(c) for i, c in enumerate(columns)])
+
+
+def running(rows: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], none: Column) -> Column:
+    """The outputs of step(state, row) -> (state, output) over an array, as an array; none: an empty array of outputs.
+
+    An array that grows by one is copied each time, so the rows are taken in blocks of about the square root of their number.
+    """
+
+    def one(done: Column, x: Column) -> Column:
+        to, out = step(done["s"], x)
+        return F.struct(to.alias("s"), F.concat(done["out"], F.array(out)).alias("out"))
+
+    def fold(x: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(x))).cast("int")
+
+        def block(done: Column, i: Column) -> Column:
+            part = F.aggregate(F.slice(x, i, size), F.struct(done["s"].alias("s"), none.alias("out")), one)
+            return F.element_at(F.transform(F.array(part), lambda p: F.struct(p["s"].alias("s"), F.concat(done["out"], F.array(p["out"])).alias("out"))), 1)
+
+        cuts = F.when(F.size(x) > 0, F.sequence(F.lit(1), F.size(x), F.greatest(size, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        empty = F.slice(F.array(none), 1, 0)
+        return F.flatten(F.aggregate(cuts, F.struct(state.alias("s"), empty.alias("out")), block)["out"])
+
+    return F.element_at(F.transform(F.array(rows), fold), 1)

@@ -257,6 +257,30 @@ def test_secret_scan(docs, empty):
     assert secret_scan.scan_documents(empty).count() == 0 and secret_scan.redact(empty).count() == 0
 
 
+def test_redact_puts_each_span_in_place(spark):
+    """Thousands of keys in one text, overlapping spans, characters of several bytes; a value that one owner repeats is no example."""
+    rng = np.random.default_rng(2)
+    token = lambda i: hashlib.sha1(b"%d" % i).hexdigest()[:30]
+    long = "".join(f"é{i} {token(i)}" + rng.choice([" ", "\n日", "\t;"]) for i in range(3000))
+    own, wide = "Zx9Zx8Zx7Zx6Zx5Zx4Yw3Vu2", "Ab1Cd2Ef3Gh4Ij5Kl6Mn7Op8"
+    data = [(0, long, "a"), (1, "", "a"), (2, None, None), (3, f"secret = {token(7)}+x and token:{token(8)}", "b"), (4, "é" * 500, "b")]
+    data += [(10 + i, f"t {own} {i} {wide}", "a") for i in range(60)] + [(90 + i, f"u {wide}", f"s{i}") for i in range(2)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)
+    spans = {r.doc_id: r.spans for r in secret_scan.scan_documents(df).collect()}
+    got = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    for i, text, _ in data:
+        if not text:
+            assert got[i] == text and spans[i] == ""
+            continue
+        cover, at, want = sorted(tuple(map(int, x.split(":")[1:])) for x in spans[i].split(",") if x), 0, ""
+        for a, b in cover:
+            if b > at:
+                want, at = want + text[at : max(a, at)] + "<secret>", b
+        assert got[i] == want + text[at:], i
+    assert spans[0].count("hex") == 3000 and "<secret>" in got[0]
+    assert all(got[10 + i] == f"t <secret> {i} {wide}" for i in range(60)) and got[90] == f"u {wide}"
+
+
 def test_packing(docs, empty):
     got = packing.pack_documents(docs, with_ids=True).collect()
     from public_tokenizers import path
