@@ -18,17 +18,22 @@ def by_perplexity(df: DataFrame, *ties: str | Column, column: str = "ppl") -> Da
     return df.orderBy(F.coalesce(F.col(column), F.lit(MISSING)), *ties)
 
 
-def first_of(df: DataFrame, n: int, *order: str | Column) -> DataFrame:
-    """The first n rows by `order`, cut exactly, without a task for all of them.
+def numbered(df: DataFrame, to: str, *order: str | Column) -> DataFrame:
+    """Adds each row's place by `order`, from 0, without a task for all of them.
 
-    The rows are sorted into range partitions and written; counts of the partitions say how many of each belong to the first n.
+    The rows are sorted into range partitions and written; counts of the partitions are what comes before each.
     """
     spot = {"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}
     rows = table(df.orderBy(*order).withColumns(spot), "sorted")
     size = rows.groupBy("_part").agg(F.count("*").alias("n"), F.min("_at").alias("low"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     size = size.select("_part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("low")).alias("_before"))
-    return rows.join(size, "_part").where(F.col("_before") + F.col("_at") < n).drop("_part", "_at", "_before")
+    return rows.join(size, "_part").withColumn(to, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
+def first_of(df: DataFrame, n: int, *order: str | Column) -> DataFrame:
+    """The first n rows by `order`, cut exactly."""
+    return numbered(df, "_place", *order).where(F.col("_place") < n).drop("_place")
 
 
 def keep_best(df: DataFrame, ratio: float, *ties: str | Column, column: str = "ppl") -> DataFrame:
