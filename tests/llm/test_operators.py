@@ -218,6 +218,48 @@ def test_mixing(docs, empty):
     assert out == +taken and mixing.take_mix(empty).count() == 0
 
 
+def test_mixing_of_repeats_and_rows_without_id(spark, monkeypatch):
+    """Against a plain walk through each source; rows without an id and repeated rows are most of all, sources are many."""
+    monkeypatch.setattr(mixing, "COPIES", 7)
+    rng = np.random.default_rng(7)
+    data = [(None, "w " * int(rng.integers(0, 40)), "a") for _ in range(150)] + [(5, "x y z", "b")] * 60 + [(None, "u v", "b")] * 40
+    data += [(i, "w " * int(rng.integers(0, 9)), f"s{i % 50}" if i % 7 else None) for i in range(10, 300)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    sizes = Counter()
+    for _, t, s in data:
+        sizes[s] += len(t.split())
+    names = sorted((s for s in sizes if s is not None), key=str.encode) + [None]
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    level, before = 0.0, None
+    while before != level:
+        full = [s for s in names if 2 * sizes[s] / weight[s] < level]
+        before, level = level, (1.5 * sum(sizes.values()) - sum(2 * sizes[s] for s in full)) / sum(weight[s] for s in names if s not in full)
+    want = Counter()
+    for s in names:
+        target = min(2.0 * sizes[s], level * weight[s])
+        budget, start = math.floor(target + 0.5), 0
+        rows_ = sorted((hashlib.md5(f"5:{'' if i is None else i}".encode()).hexdigest(), len(t.split()), -1 if i is None else i) for i, t, x in data if x == s)
+        epochs, rest = divmod(budget, sizes[s]) if sizes[s] else (0, 0)
+        for _, n, i in rows_:
+            want[i, n, sizes[s], target, n * epochs + max(0, min(n, rest - start))] += 1
+            start += n
+    got = Counter((-1 if r.doc_id is None else r.doc_id, r.size, r.source_size, r.target, r.taken) for r in mixing.document_mix(df).collect())
+    assert got == want
+
+
+def test_sharding_of_repeats(spark, monkeypatch):
+    """Copies of a row are dealt each for itself: to all shards, in blocks, at slots of their own."""
+    monkeypatch.setattr(sharding, "ROWS", 16)
+    data = [(1, "same")] * 400 + [(None, None)] * 100 + [(i, f"t{i}") for i in range(2, 60)]
+    got = sharding.document_shards(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in data)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append((r.slot, r.doc_id))
+    assert len(slots) == 16 and all(sorted(n for n, _ in s) == list(range(len(s))) for s in slots.values())
+    assert {len(s) for s in slots.values()} <= {34, 35} and all(sum(i == 1 for _, i in s) > 12 for s in slots.values())
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
