@@ -2,24 +2,25 @@
 
 Plan
 1. `_profiles`: one scan gives each text's set size and a 128-bit name of its n-gram set.  Equal sets are one
-   node from here on, so copies are never paired.  The same scan reports n-grams that are frequent within a task; from
-   them come the hot n-grams (in over 1/(2*HOT) of all texts; at most 2*HOT times the mean set size of them, so
-   their broadcast is bounded) and the hot nodes (at most HOT).
-2. `_fragments`: the n-grams are cut into fragments (ranges of the hash).  A fragment's task sees all texts that have an
-   n-gram of its range and keeps only n-grams of two or more nodes, with their document frequency.  Hot n-grams stay
-   out of the fragments (their frequency is known to be high), hot nodes are sent once.
+   node from here on, so copies are never paired.  The same scan keeps a Misra-Gries summary of its n-grams; from the summaries
+   come the hot n-grams (in over 1/(2*HOT) of all texts, and in HEAVY at least; at most 2*HOT times the mean set size of them, so
+   their broadcast is bounded) and from the names the hot nodes (at most HOT).
+2. `_shared`: n-grams are dealt by ranges of their hash.  A range's task sees all texts that have an n-gram of it and keeps
+   only n-grams of two or more nodes, with their document frequency.  Hot n-grams need no count, hot nodes are sent once.
 3. `_survivors`: a node's n-grams in global order (frequency, hash).  A pair at the threshold must share an n-gram within
    the first n - ceil(t*n) + 1 of both, so a node whose unshared n-grams fill that prefix has no partner.
 4. `_homes`: a prefix n-gram proposes its most central node; the one that most of a node's prefix n-grams propose is its
    home, so near copies come to lie in the same blocks.
-5. `_block_links`: every pair of nodes that shares a prefix n-gram.  Nodes are cut into blocks; a block meets, in chunks, the
-   nodes of its own and of later blocks that share a prefix n-gram with it.  Within a block the global order is cut into
-   fragments; partial overlaps are counted fragment by fragment, summed per pair, and a pair is left as soon as the
-   fragments to come can't lift it to the threshold.  What leaves a task is a row per node: how many rows it links to
-   (copies counted), and the least node of its component within the task.
-6. Link counts are summed per node; components of all tasks' components, by smallest name with pointer jumping.
+5. `_meetings`: nodes are cut into blocks; a block meets, in chunks, the nodes of its own home and those of other homes that
+   share a prefix n-gram with it.
+6. `_partial`: the global order is cut into FRAGMENTS fragments of about equal weight.  A task has one fragment of one meeting:
+   segments of the nodes' n-grams.  It counts the partial overlaps of all pairs.  Segments know how many n-grams are before and
+   behind them, so a pair that even full overlap there can't lift to the threshold is left out; any other is sent on.
+7. `_total`: partial overlaps are summed per pair; a pair at the threshold is a link.  What leaves the task is a row per
+   node: how many rows it links to (copies counted), and the least node of its component within the task.
+8. Link counts are summed per node; components of all tasks' components, by smallest name with pointer jumping.
 
-Each pair at or over the threshold is verified in 5, in one task only.
+Each pair at or over the threshold is summed in one task of 7 only.
 
 Defined results: null or empty texts, and texts without words, have an empty set, no link, and are their own component.
 Repeated rows are one node each and come out once per row.  A null doc_id counts only where its component has
@@ -38,26 +39,51 @@ from . import _words as W
 from ._store import hidden, restored, table
 
 HOT = 500
-#: n-grams in a fragment's task; n-grams on each side of a block's task.
-FRAGMENT, BLOCK, CHUNK = 4_000_000, 100_000, 500_000
-PARTS = 8
-#: Bytes of text that leave a scan together.
-SLICE = 2 << 20
-#: What is in fewer texts is never hot; a node counts as this many n-grams at least, so that a task's pairs are bounded.
-HEAVY, LIGHT = 1_000, 200
+#: n-grams of a range of hashes; n-grams of a block, and of a chunk that it meets.
+RANGE, BLOCK, CHUNK = 4_000_000, 400_000, 1_600_000
+#: Fragments of the global order.
+FRAGMENTS = 4
+#: Bytes of text that leave a scan together; n-grams that are summed up together.
+SLICE, PILE = 2 << 20, 2_000_000
+#: What is in fewer texts is no burden to a task; a node counts as this many n-grams at least, so that a task's pairs are bounded.
+HEAVY, LIGHT = 1_000, 1_600
+#: Counters of a summary: an n-gram in more than one of so many of a task's n-grams is never missed.
+COUNTERS = 500_000
 #: So many hits cost as much as one step of a product of matrices.
 DENSE = 100
 _HOT_DF = 0xFFFF  # frequencies count up to one less
 
 
-def _profile(batches, k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("token", pa.int64()), ("hits", pa.int64())])
-    seen, hits, texts = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+class Summary:
+    """Misra and Gries: counts that are too low by at most one in COUNTERS of all that was added."""
+
+    def __init__(self):
+        self.seen, self.hits, self.pile, self.held = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+
+    def add(self, value: np.ndarray) -> None:
+        self.pile.append(value)
+        self.held += len(value)
+        if self.held >= PILE:
+            self.settle()
+
+    def settle(self) -> None:
+        new, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.pile]), return_counts=True)
+        self.pile, self.held = [], 0
+        self.seen, back = np.unique(np.concatenate([self.seen, new]), return_inverse=True)
+        self.hits = np.bincount(back, np.concatenate([self.hits, times]), len(self.seen)).astype(np.int64)
+        if len(self.seen) > COUNTERS:
+            self.hits -= np.partition(self.hits, len(self.hits) - COUNTERS - 1)[len(self.hits) - COUNTERS - 1]
+            self.seen, self.hits = self.seen[self.hits > 0], self.hits[self.hits > 0]
 
-    def frequent():
-        keep = hits >= max(8, texts // (2 * HOT))
-        return seen[keep], hits[keep]
+    def over(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        self.settle()
+        keep = self.hits >= least
+        return self.seen[keep], self.hits[keep]
 
+
+def _profile(batches, k: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("token", pa.int64()), ("hits", pa.int64())])
+    summary, texts = Summary(), 0
     for batch in batches:
         for a, b in W.slices(batch["text"]):
             part = batch.slice(a, b - a)
@@ -67,15 +93,8 @@ def _profile(batches, k: int):
             none = pa.nulls(len(n), pa.int64())
             yield pa.RecordBatch.from_arrays([part["doc_id"], part["text_hash"], pa.array(n), pa.compute.if_else(pa.array(n > 0), node, pa.scalar(None, pa.binary())), none, none], schema=schema)
             texts += len(n)
-            new, times = np.unique(value, return_counts=True)
-            keep = times >= max(2, len(n) // (8 * HOT))
-            if keep.any():
-                seen, back = np.unique(np.concatenate([seen, new[keep]]), return_inverse=True)
-                hits = np.bincount(back, np.concatenate([hits, times[keep]]), len(seen)).astype(np.int64)
-                if len(seen) > 1_000_000:  # a lossy count, of order only
-                    top = hits > np.sort(hits)[-500_000]
-                    seen, hits = seen[top], hits[top]
-    seen, hits = frequent()
+            summary.add(value)
+    seen, hits = summary.over(max(8, texts // (2 * HOT)))
     none = pa.nulls(len(seen), pa.int64())
     yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(seen), pa.binary()), pa.array(seen.view(np.int64)), pa.array(hits)], schema=schema)
 
@@ -84,21 +103,21 @@ def _profiles(docs: DataFrame, k: int) -> DataFrame:
     return table(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(lambda it: _profile(it, k), "doc_id long, text_hash long, n long, node binary, token long, hits long"), "profiles")
 
 
-_SENT = pa.schema([("fragment", pa.int32()), ("hot", pa.bool_()), ("nodes", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary())])
+_SENT = pa.schema([("range", pa.int32()), ("hot", pa.bool_()), ("nodes", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary())])
 _SHARED = pa.schema([("node", pa.binary()), ("hot", pa.bool_()), ("shared", pa.int64()), ("tokens", pa.binary()), ("dfs", pa.binary())])
 
 
-def _send(batches, k: int, fragments: int, hot_tokens: np.ndarray, hot_nodes: np.ndarray, hot_ids: np.ndarray):
+def _send(batches, k: int, ranges: int, hot_tokens: np.ndarray, hot_nodes: np.ndarray, hot_ids: np.ndarray):
     """hot_nodes: sorted names; hot_ids: the doc_id that alone sends each of them."""
     for batch in batches:
         for a, b in W.slices(batch["text"], SLICE):
             part = batch.slice(a, b - a)
             value, bounds = W.shingle_sets(part["text"], k)
-            yield from _packed(value, np.diff(bounds), W.set_names(value, bounds), part["doc_id"], fragments, hot_tokens, hot_nodes, hot_ids)
+            yield from _packed(value, np.diff(bounds), W.set_names(value, bounds), part["doc_id"], ranges, hot_tokens, hot_nodes, hot_ids)
 
 
-def _packed(value, size, name, doc_id, fragments, hot_tokens, hot_nodes, hot_ids):
-    """A row per fragment for the sets of some texts; of equal sets one goes."""
+def _packed(value, size, name, doc_id, ranges, hot_tokens, hot_nodes, hot_ids):
+    """A row per range for the sets of some texts; of equal sets one goes."""
     if len(value):
         key = np.ascontiguousarray(name).view("V16").ravel()
         _, first = np.unique(key, return_index=True)
@@ -117,10 +136,10 @@ def _packed(value, size, name, doc_id, fragments, hot_tokens, hot_nodes, hot_ids
             v, t = value[is_hot == hot], text[is_hot == hot]
             if not len(v):
                 continue
-            f = W.fragment_of(v, fragments) if not hot else W.fragment_of(name[t, 0], fragments)
-            order = np.argsort(f.astype(np.uint16) if fragments < 65536 else f, kind="stable")
+            f = W.fragment_of(v, ranges) if not hot else W.fragment_of(name[t, 0], ranges)
+            order = np.argsort(f.astype(np.uint16) if ranges < 65536 else f, kind="stable")
             f, v, t = f[order], v[order], t[order]
-            head = np.flatnonzero(np.concatenate([[True], (f[1:] != f[:-1]) | (t[1:] != t[:-1])]))  # of each (fragment, text)
+            head = np.flatnonzero(np.concatenate([[True], (f[1:] != f[:-1]) | (t[1:] != t[:-1])]))  # of each (range, text)
             group = np.flatnonzero(np.concatenate([[True], f[head][1:] != f[head][:-1]]))
             counts = np.diff(np.append(head, len(v))).astype(np.uint32)
             ends = np.append(group, len(head))
@@ -128,7 +147,7 @@ def _packed(value, size, name, doc_id, fragments, hot_tokens, hot_nodes, hot_ids
 
 
 def _meet(sent: pa.Table) -> pa.Table:
-    """The n-grams of a fragment that two or more nodes have; hot ones, and their nodes, pass through."""
+    """The n-grams of a range that two or more nodes have; hot ones, and their nodes, pass through."""
     out = []
     for hot in (False, True):
         rows = sent.filter(pa.compute.equal(sent["hot"], hot))
@@ -169,46 +188,75 @@ def _meet(sent: pa.Table) -> pa.Table:
     return pa.concat_tables(out) if out else _SHARED.empty_table()
 
 
-def _fragments(docs: DataFrame, k: int, profiles: DataFrame) -> DataFrame:
+def _by_range(batches):
+    """The rows of each range of a partition, which are one after another."""
+    held: list = []
+    for batch in batches:
+        at = np.asarray(batch["range"])
+        cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b:
+                if held and held[-1]["range"][0].as_py() != at[a]:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _met(batches):
+    for rows in _by_range(batches):
+        yield from _meet(rows).to_batches()
+        W.release()
+
+
+def _shared(docs: DataFrame, k: int, profiles: DataFrame, nodes: DataFrame) -> DataFrame:
+    """A row per range and node: its n-grams there that other nodes have too."""
     texts, grams = profiles.where("n is not null").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    fragments = max(8, -(-grams // FRAGMENT))
+    ranges = max(8, -(-grams // RANGE))
     hot = profiles.where("token is not null").groupBy("token").agg(F.sum("hits").alias("hits")).where((F.col("hits") * 2 * HOT >= texts) & (F.col("hits") >= HEAVY))
     hot_tokens = np.sort(np.array([r[0] for r in hot.select("token").collect()], np.int64).view(np.uint64))
-    copied = profiles.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("id")).where((F.col("copies") * HOT >= texts) & (F.col("copies") >= HEAVY) & F.col("id").isNotNull())
-    copied = sorted((np.frombuffer(r[0], np.uint64)[0], r[2]) for r in copied.collect())
+    copied = nodes.where((F.col("copies") * HOT >= texts) & (F.col("copies") >= HEAVY) & F.col("low").isNotNull())
+    copied = sorted((np.frombuffer(r[0], np.uint64)[0], r[1]) for r in copied.select("node", "low").collect())
     hot_nodes, hot_ids = np.array([x[0] for x in copied], np.uint64), np.array([x[1] for x in copied], np.int64)
-    sent = docs.select("doc_id", "text").mapInArrow(lambda it: _send(it, k, fragments, hot_tokens, hot_nodes, hot_ids), "fragment int, hot boolean, nodes binary, counts binary, tokens binary")
-    return sent.groupBy("fragment").applyInArrow(W.grouped(lambda t: _meet(t)), "node binary, hot boolean, shared long, tokens binary, dfs binary")
+    sent = docs.select("doc_id", "text").mapInArrow(lambda it: _send(it, k, ranges, hot_tokens, hot_nodes, hot_ids), "range int, hot boolean, nodes binary, counts binary, tokens binary")
+    # a partition is a range
+    return sent.repartitionById(ranges, F.col("range")).sortWithinPartitions("range").mapInArrow(_met, "node binary, hot boolean, shared long, tokens binary, dfs binary")
+
+
+def _place(value: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Where n-grams stand in the global order, as whole numbers over 0."""
+    return (df.astype(np.int64) << 47) | (value >> np.uint64(17)).astype(np.int64)
 
 
 def _order(batches, percent: int):
-    """Each node's shared n-grams in global order, and those of its prefix."""
-    schema = pa.schema([("node", pa.binary()), ("n", pa.int64()), ("lone", pa.int64()), ("tokens", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
+    """Each node's shared n-grams in global order, those of its prefix, and FRAGMENTS evenly spaced places."""
+    schema = pa.schema([("node", pa.binary()), ("n", pa.int64()), ("copies", pa.int64()), ("lone", pa.int64()), ("grams", pa.int64()), ("tokens", pa.binary()), ("dfs", pa.binary()), ("prefix", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64()))])
     for batch in batches:
         rows = []
         for r in batch.to_pylist():
-            value = np.frombuffer(b"".join(r["tokens"]), np.uint64)
-            order = np.lexsort((value, np.frombuffer(b"".join(r["dfs"]), np.uint16)))
-            value = value[order].view(np.int64)
+            value, df = np.frombuffer(b"".join(r["tokens"]), np.uint64), np.frombuffer(b"".join(r["dfs"]), np.uint16)
+            order = np.lexsort((value, df))
+            value, df = value[order], df[order]
             lone = r["n"] - len(value)
             prefix = r["n"] - -(-percent * r["n"] // 100) + 1 - lone
-            rows.append({"node": r["node"], "n": r["n"], "lone": lone, "tokens": value, "prefix": value[:prefix]})
+            marks = _place(value, df)[(np.arange(FRAGMENTS) * 2 + 1) * len(value) // (2 * FRAGMENTS)]
+            rows.append({"node": r["node"], "n": r["n"], "copies": r["copies"], "lone": lone, "grams": len(value), "tokens": value.tobytes(), "dfs": df.tobytes(), "prefix": value[:prefix].view(np.int64), "marks": marks})
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
-def _survivors(docs: DataFrame, k: int, percent: int, profiles: DataFrame) -> DataFrame:
-    sizes = profiles.where("node is not null").groupBy("node").agg(F.first("n").alias("n"))
+def _survivors(docs: DataFrame, k: int, percent: int, profiles: DataFrame, nodes: DataFrame) -> DataFrame:
     cold, hot = ~F.col("hot"), F.col("hot")
-    per_node = _fragments(docs, k, profiles).groupBy("node").agg(
+    per_node = _shared(docs, k, profiles, nodes).groupBy("node").agg(
         F.sum(F.when(cold, F.col("shared")).otherwise(0)).alias("shared"),
         F.collect_list(F.when(cold, F.struct("tokens", "dfs"))).alias("parts"),
         F.max(F.when(hot, F.struct("shared", "tokens", "dfs"))).alias("hot"),  # copies of a node send the same
     )
     per_node = per_node.withColumn("shared", F.col("shared") + F.coalesce("hot.shared", F.lit(0)))
-    joined = per_node.join(sizes, "node").where((F.col("n") - F.col("shared")) < F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    joined = per_node.join(nodes.select("node", "n", "copies"), "node").where((F.col("n") - F.col("shared")) < F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
     parts = F.concat("parts", F.when(F.col("hot").isNotNull(), F.array(F.struct("hot.tokens", "hot.dfs"))).otherwise(F.array().cast("array<struct<tokens:binary,dfs:binary>>")))
-    joined = joined.withColumn("parts", parts).select("node", "n", F.col("parts.tokens").alias("tokens"), F.col("parts.dfs").alias("dfs"))
-    return table(joined.mapInArrow(lambda it: _order(it, percent), "node binary, n long, lone long, tokens array<long>, prefix array<long>"), "survivors", "lz4")
+    joined = joined.withColumn("parts", parts).select("node", "n", "copies", F.col("parts.tokens").alias("tokens"), F.col("parts.dfs").alias("dfs"))
+    return table(joined.mapInArrow(lambda it: _order(it, percent), "node binary, n long, copies long, lone long, grams long, tokens binary, dfs binary, prefix array<long>, marks array<long>"), "survivors", "lz4")
 
 
 def _homes(postings: DataFrame) -> DataFrame:
@@ -225,7 +273,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     the logarithm of the longest path.  All is joins and map-side combined minima on written tables.
     """
     both = links.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    both = both.union(links.select(F.col(b), F.col(a))).distinct()
+    both = table(both.union(links.select(F.col(b), F.col(a))).where("u <> v").distinct(), "edges")
     labels = table(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("component")).withColumnRenamed("u", "node"), "labels")
     while True:
         seen = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("component").alias("low"))
@@ -238,79 +286,104 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
+_UNIT = "home binary, i long, chunk long"
+_SEGMENT = pa.schema([("home", pa.binary()), ("i", pa.int64()), ("chunk", pa.int64()), ("fragment", pa.int32()), ("is_x", pa.bool_()), ("inner", pa.bool_()), ("node", pa.binary()), ("n", pa.int64()), ("copies", pa.int64()), ("head", pa.int64()), ("tail", pa.int64()), ("tokens", pa.binary())])
+_PARTIAL = pa.schema([("home", pa.binary()), ("i", pa.int64()), ("chunk", pa.int64())] + [(f"{side}_{c}", pa.binary()) for side in "xy" for c in ("node", "n", "copies")] + [("x", pa.binary()), ("y", pa.binary()), ("overlap", pa.binary())])
 _LINK = pa.schema([("node", pa.binary()), ("to", pa.binary()), ("links", pa.int64())])
 
 
-def _csr(column) -> tuple[np.ndarray, np.ndarray]:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    if isinstance(column, pa.ChunkedArray):
-        column = pa.concat_arrays(column.chunks)
-    offsets = np.asarray(column.offsets)
-    return np.asarray(column.values)[offsets[0] : offsets[-1]] if len(column) else np.zeros(0, np.int64), np.diff(offsets)
-
-
-def _verify(xs: pa.Table, ys: pa.Table, percent: int) -> pa.Table:
-    """Links between a block's nodes xs and a chunk of the nodes ys: per node their count, and the least node they lead to.
-
-    The global order of all n-grams here is cut into PARTS fragments.  Each fragment is an inverted list from which the
-    partial overlaps of all pairs are counted; a pair stays while its sum so far, and the smaller of both remaining
-    segment sizes, can reach the threshold.  N-grams that many of both sides have are counted as a product of matrices.
-    """
+def _segments(batches, pivots: np.ndarray):
+    """Each node's n-grams cut at the pivots of the global order; a segment knows how many are before and behind it."""
+    for batch in batches:
+        out: list = []
+        for r in batch.to_pylist():
+            value, df = np.frombuffer(r["tokens"], np.uint64), np.frombuffer(r["dfs"], np.uint16)
+            cuts = [0, *np.searchsorted(_place(value, df), pivots, "left").tolist(), len(value)]
+            for f, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                if a < b:
+                    out.append({"home": r["home"], "i": r["i"], "chunk": r["chunk"], "fragment": f, "is_x": r["is_x"], "inner": r["inner"], "node": r["node"], "n": r["n"], "copies": r["copies"], "head": a, "tail": len(value) - b, "tokens": value[a:b].tobytes()})
+        yield pa.RecordBatch.from_pylist(out, schema=_SEGMENT)
+
+
+def _overlaps(xv: np.ndarray, xd: np.ndarray, yv: np.ndarray, yd: np.ndarray, wide: int, deep: int) -> np.ndarray:
+    """How many n-grams each of `wide` sets shares with each of `deep`: from an inverted list, and where many of both sides have
+    an n-gram, as a product of matrices."""
+    total = np.zeros((wide, deep), np.int32)
+    order = np.argsort(xv, kind="stable")
+    tokens, owner = xv[order], xd[order]
+    lo, hi = np.searchsorted(tokens, yv, "left"), np.searchsorted(tokens, yv, "right")
+    hit = hi > lo
+    lo, size, d = lo[hit], (hi - lo)[hit], yd[hit]
+    starts, back, times = np.unique(lo, return_inverse=True, return_counts=True)
+    first = np.zeros(len(starts), np.int64)
+    first[back] = size  # how many of xs have the n-gram; times: how many of ys
+    common = first * times * DENSE > wide * deep
+    columns = np.flatnonzero(common)
+    for i in range(0, len(columns), 2_048):
+        part = columns[i : i + 2_048]
+        place = np.full(len(starts), -1)
+        place[part] = np.arange(len(part))
+        left, right = np.zeros((wide, len(part)), np.float32), np.zeros((deep, len(part)), np.float32)
+        at = np.repeat(starts[part] - np.concatenate([[0], np.cumsum(first[part])[:-1]]), first[part]) + np.arange(first[part].sum())
+        left[owner[at], np.repeat(np.arange(len(part)), first[part])] = 1
+        mine = place[back] >= 0
+        right[d[mine], place[back][mine]] = 1
+        total += (left @ right.T).astype(np.int32)
+    rare = ~common[back]
+    lo, size, d = lo[rare], size[rare], d[rare]
+    for a in range(0, len(lo), 20_000):  # bounds the expanded lists
+        s, l, y = size[a : a + 20_000], lo[a : a + 20_000], d[a : a + 20_000]
+        at = np.repeat(l - np.concatenate([[0], np.cumsum(s)[:-1]]), s) + np.arange(s.sum())
+        np.add.at(total.reshape(-1), owner[at] * deep + np.repeat(y, s), 1)
+    return total
+
+
+def _needed(xn: np.ndarray, yn: np.ndarray, percent: int) -> np.ndarray:
+    """The overlap from which sets of these sizes link."""
+    return -(-(xn[:, None] + yn[None, :]) * percent // (100 + percent))
+
+
+def _partial(rows: pa.Table, percent: int) -> pa.Table:
+    """Partial overlaps in one fragment, of a block's nodes with a chunk's: one row, of the pairs that may still link."""
+    xs, ys = rows.filter(rows["is_x"]), rows.filter(pa.compute.invert(rows["is_x"]))
     if not xs.num_rows or not ys.num_rows:
-        return _LINK.empty_table()
-    xv, xn = _csr(xs["tokens"])
-    yv, yn = _csr(ys["tokens"])
-    xsize, ysize = np.asarray(xs["n"]), np.asarray(ys["n"])
-    xrank, yrank = xs["rank"].to_pylist(), ys["rank"].to_pylist()
-    ranks = {r: i for i, r in enumerate(sorted({*xrank, *yrank}))}
-    xrank, yrank = np.array([ranks[r] for r in xrank]), np.array([ranks[r] for r in yrank])
-    xd, yd = np.repeat(np.arange(len(xn)), xn), np.repeat(np.arange(len(yn)), yn)
-    xf, yf = ((v.view(np.uint64) >> np.uint64(61)).astype(np.int64) for v in (xv, yv))
-    xseg, yseg = np.zeros((len(xn), PARTS), np.int32), np.zeros((len(yn), PARTS), np.int32)
-    np.add.at(xseg, (xd, xf), 1)
-    np.add.at(yseg, (yd, yf), 1)
-    need = -(-(xsize[:, None] + ysize[None, :]) * percent // (100 + percent))
-    alive = (xrank[:, None] < yrank[None, :]) & (np.minimum(xsize[:, None], ysize) * 100 >= np.maximum(xsize[:, None], ysize) * percent)
-    total = np.zeros((len(xn), len(yn)), np.int32)
-    rest = np.minimum(xseg[:, None, :], yseg[None, :, :]).sum(2, dtype=np.int32) if len(xn) * len(yn) < 4_000_000 else None
-    for f in range(PARTS):
-        pick = xf == f
-        order = np.argsort(xv[pick], kind="stable")
-        tokens, owner = xv[pick][order], xd[pick][order]
-        pick = yf == f
-        v, d = yv[pick], yd[pick]
-        lo, hi = np.searchsorted(tokens, v, "left"), np.searchsorted(tokens, v, "right")
-        hit = hi > lo
-        lo, size, d = lo[hit], (hi - lo)[hit], d[hit]
-        starts, back, times = np.unique(lo, return_inverse=True, return_counts=True)
-        first = np.zeros(len(starts), np.int64)
-        first[back] = size  # how many of xs have the n-gram; times: how many of ys
-        common = first * times * DENSE > len(xn) * len(yn)
-        columns = np.flatnonzero(common)
-        for i in range(0, len(columns), 2_048):
-            part = columns[i : i + 2_048]
-            place = np.full(len(starts), -1)
-            place[part] = np.arange(len(part))
-            left, right = np.zeros((len(xn), len(part)), np.float32), np.zeros((len(yn), len(part)), np.float32)
-            at = np.repeat(starts[part] - np.concatenate([[0], np.cumsum(first[part])[:-1]]), first[part]) + np.arange(first[part].sum())
-            left[owner[at], np.repeat(np.arange(len(part)), first[part])] = 1
-            mine = place[back] >= 0
-            right[d[mine], place[back][mine]] = 1
-            total += (left @ right.T).astype(np.int32)
-        rare = ~common[back]
-        lo, size, d = lo[rare], size[rare], d[rare]
-        for a in range(0, len(lo), 20_000):  # bounds the expanded lists
-            s, l, y = size[a : a + 20_000], lo[a : a + 20_000], d[a : a + 20_000]
-            at = np.repeat(l - np.concatenate([[0], np.cumsum(s)[:-1]]), s) + np.arange(s.sum())
-            np.add.at(total.reshape(-1), owner[at] * len(yn) + np.repeat(y, s), 1)
-        if rest is not None:
-            rest -= np.minimum(xseg[:, f, None], yseg[None, :, f])
-            alive &= total + rest >= need
-    x, y = np.nonzero(alive & (total >= need))
-    both = np.array(xs["node"].to_pylist() + ys["node"].to_pylist(), object)
-    names, of = np.unique(both, return_inverse=True)
-    x_of, y_of = of[: len(xn)][x], of[len(xn) :][y]
-    links = np.bincount(x_of, np.asarray(ys["copies"])[y], len(names)) + np.bincount(y_of, np.asarray(xs["copies"])[x], len(names))
+        return _PARTIAL.empty_table()
+    (xv, xs_), (yv, ys_) = (W.flat(t["tokens"], np.uint64) for t in (xs, ys))
+    wide, deep = xs.num_rows, ys.num_rows
+    total = _overlaps(xv, np.repeat(np.arange(wide), xs_), yv, np.repeat(np.arange(deep), ys_), wide, deep)
+    x, y = ({c: np.asarray(t[c]) for c in ("n", "copies", "head", "tail")} for t in (xs, ys))
+    # within a block each pair has the lesser name as x
+    names = [np.array(t["node"].to_pylist(), "S16") for t in (xs, ys)]
+    alive = (total > 0) & (~np.asarray(ys["inner"])[None, :] | (names[0][:, None] < names[1][None, :]))
+    rest = np.minimum(x["head"][:, None], y["head"]) + np.minimum(x["tail"][:, None], y["tail"])
+    i, j = np.nonzero(alive & (total + rest >= _needed(x["n"], y["n"], percent)))
+    (ui, i_at), (uj, j_at) = (np.unique(k, return_inverse=True) for k in (i, j))
+    one = lambda data: pa.array([np.ascontiguousarray(data).tobytes()], pa.binary())
+    sides = [one(v) for t, v, u in ((xs, x, ui), (ys, y, uj)) for v in (np.frombuffer(b"".join(t["node"].to_pylist()), "V16")[u], v["n"][u], v["copies"][u])]
+    return pa.Table.from_arrays([*(rows[c].slice(0, 1) for c in ("home", "i", "chunk")), *sides, one(i_at.astype(np.uint16)), one(j_at.astype(np.uint16)), one(total[i, j].astype(np.uint32))], schema=_PARTIAL)
+
+
+def _total(rows: pa.Table, percent: int) -> pa.Table:
+    """Sums the fragments' partial overlaps per pair: per node its links, and the least node that they lead to.
+
+    A pair that a fragment left out is below the threshold, and so is the sum of its other overlaps.
+    """
+    read = lambda c, kind: [np.frombuffer(b, kind) for b in rows[c].to_pylist()]
+    every, at = {}, {}
+    for side in "xy":
+        names = read(f"{side}_node", "S16")
+        unique, first, back = np.unique(np.concatenate(names), return_index=True, return_inverse=True)
+        n, copies = (np.concatenate(read(f"{side}_{c}", np.int64))[first] for c in ("n", "copies"))
+        starts = np.cumsum([0, *map(len, names)])
+        at[side] = np.concatenate([back[s:][p] for s, p in zip(starts, read(side, np.uint16))])
+        every[side] = (unique, n, copies)
+    (xname, xn, xc), (yname, yn, yc) = every["x"], every["y"]
+    total = np.zeros((len(xname), len(yname)), np.int64)
+    np.add.at(total, (at["x"], at["y"]), np.concatenate(read("overlap", np.uint32)))
+    x, y = np.nonzero((total > 0) & (total >= _needed(xn, yn, percent)))
+    names, of = np.unique(np.concatenate([xname, yname]), return_inverse=True)
+    x_of, y_of = of[: len(xname)][x], of[len(xname) :][y]
+    links = np.bincount(x_of, yc[y], len(names)) + np.bincount(y_of, xc[x], len(names))
     least, before = np.arange(len(names)), None
     while before is None or (least != before).any():
         before = least.copy()
@@ -318,29 +391,37 @@ def _verify(xs: pa.Table, ys: pa.Table, percent: int) -> pa.Table:
         np.minimum.at(least, y_of, before[x_of])
         least = least[least]
     out = np.flatnonzero(links)
-    return pa.Table.from_arrays([pa.array(names[out], pa.binary()), pa.array(names[least[out]], pa.binary()), pa.array(links[out].astype(np.int64))], schema=_LINK)
+    whole = lambda k: pa.array([n.ljust(16, b"\0") for n in names[k].tolist()], pa.binary())
+    return pa.Table.from_arrays([whole(out), whole(least[out]), pa.array(links[out].astype(np.int64))], schema=_LINK)
 
 
-def _block_links(nodes: DataFrame, postings: DataFrame, home: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
-    """(node, to, links): per task and node, how many rows it links to, and the least node of its component there."""
-    x = nodes.select("node", F.greatest(F.size("tokens"), F.lit(LIGHT)).alias("grams")).join(home, "node")
+def _meetings(nodes: DataFrame, postings: DataFrame, home: DataFrame) -> DataFrame:
+    """(home, i, chunk, node, is_x, inner): the blocks' nodes, and in chunks those that they meet."""
+    x = nodes.select("node", F.greatest("grams", F.lit(LIGHT)).alias("grams")).join(home, "node")
     x = x.join(x.groupBy("home").agg(F.ceil(F.sum("grams") / BLOCK).alias("blocks")), "home")
-    x = table(x.select("node", "grams", F.struct("home", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("i")).alias("block")), "blocks")
+    x = table(x.select("node", "grams", "home", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("i")), "blocks")
+    # blocks of one home meet each other; of two blocks the lesser asks
+    own = x.select("node", "grams", "home", F.explode(F.sequence(F.lit(0).cast("long"), F.col("i"))).alias("at"), "i")
+    own = own.select("node", "grams", "home", F.col("at").alias("i"), (F.col("at") == F.col("i")).alias("inner"))
     posted = postings.select("token", "node").join(x, "node")
-    asks = posted.groupBy("token").agg(F.collect_set("block").alias("asking"), F.count("*").alias("m")).where("m > 1").drop("m")
-    # of two blocks the lesser asks; within a block the node of the lesser name is x
-    y = posted.join(asks, "token").select("node", "grams", "block", F.filter("asking", lambda b: b <= F.col("block")).alias("asking"))
-    y = y.groupBy("node", "grams", "block").agg(F.array_distinct(F.flatten(F.collect_list("asking"))).alias("asking"))
-    y = y.select("node", "grams", F.col("block").alias("own"), F.explode("asking").alias("block"))
-    y = table(y.select("node", "grams", "block", (F.col("own") == F.col("block")).alias("inner")), "asked")
-    chunks = y.groupBy("block").agg(F.ceil(F.sum("grams") / CHUNK).alias("chunks"))
-    full = nodes.select("node", "n", "tokens").join(copies, "node")
-    left = x.join(chunks, "block").select("node", "block", F.lit(True).alias("inner"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")).join(full, "node")
-    right = y.join(chunks, "block").select("node", "block", "inner", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk")).join(full, "node")
-    rank = F.concat(F.when(F.col("inner"), F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit("01"))), F.col("node"))
-    unit = [F.col("block.home").alias("home"), F.col("block.i").alias("i"), "chunk", "node", "n", "copies", rank.alias("rank"), "tokens"]
-    sides = left.select(*unit, F.lit(True).alias("is_x")).unionByName(right.select(*unit, F.lit(False).alias("is_x")))
-    return sides.groupBy("home", "i", "chunk").applyInArrow(W.grouped(lambda t: _verify(t.filter(t["is_x"]), t.filter(pa.compute.invert(t["is_x"])), percent)), "node binary, to binary, links long")
+    asks = posted.select("token", F.col("home").alias("to"), F.col("i").alias("at")).distinct()
+    other = posted.join(asks, "token").where(F.col("to") < F.col("home")).select("node", "grams", F.col("to").alias("home"), F.col("at").alias("i"), F.lit(False).alias("inner")).distinct()
+    y = table(own.unionByName(other), "asked")
+    chunks = y.groupBy("home", "i").agg(F.ceil(F.sum("grams") / CHUNK).alias("chunks"), F.count("*").alias("met")).where("met > 1")
+    right = y.join(chunks, ["home", "i"]).select("home", "i", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), "node", F.lit(False).alias("is_x"), "inner")
+    left = x.join(chunks, ["home", "i"]).select("home", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "node", F.lit(True).alias("is_x"), F.lit(True).alias("inner"))
+    return left.unionByName(right)
+
+
+def _links(nodes: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
+    """(node, to, links): per meeting and node, how many rows it links to, and the least node of its component there."""
+    marks = nodes.select(F.explode("marks").alias("mark")).agg(F.percentile_approx("mark", [i / FRAGMENTS for i in range(1, FRAGMENTS)], 1_000)).first()[0]
+    pivots = np.unique(np.array(marks or [], np.int64))
+    met = _meetings(nodes, postings, _homes(postings)).join(nodes.select("node", "n", "copies", "tokens", "dfs"), "node")
+    cut = met.mapInArrow(lambda it: _segments(it, pivots), f"{_UNIT}, fragment int, is_x boolean, inner boolean, node binary, n long, copies long, head long, tail long, tokens binary")
+    names = ", ".join(f"{f.name} binary" for f in _PARTIAL if pa.types.is_binary(f.type) and f.name != "home")
+    partial = cut.groupBy("home", "i", "chunk", "fragment").applyInArrow(W.grouped(lambda t: _partial(t, percent)), f"{_UNIT}, {names}")
+    return partial.groupBy("home", "i", "chunk").applyInArrow(W.grouped(lambda t: _total(t, percent)), "node binary, to binary, links long")
 
 
 def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -350,14 +431,14 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     row links to, copies counted; components are those of these links.
     """
     profiles = _profiles(docs, k)
-    nodes = _survivors(docs, k, percent, profiles)
-    postings = table(nodes.select("node", "n", "lone", F.explode("prefix").alias("token")), "postings", "lz4")
     rows = profiles.where("n is not null")
-    copies = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("low"))
-    blocks = table(_block_links(nodes, postings, _homes(postings), copies.select("node", "copies"), percent), "links")
+    copies = table(rows.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("copies"), F.min("doc_id").alias("low")), "nodes")
+    nodes = _survivors(docs, k, percent, profiles, copies)
+    postings = table(nodes.select("node", "n", "lone", F.explode("prefix").alias("token")), "postings", "lz4")
+    blocks = table(_links(nodes, postings, percent), "links")
     labels = components(blocks, "node", "to")
     linked = blocks.groupBy("node").agg(F.sum("links").alias("links"))
-    lowest = copies.join(labels, "node", "left").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lowest = copies.drop("n").join(labels, "node", "left").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = lowest.groupBy("component").agg(F.min("low").alias("component_id"))
     named = lowest.join(least, "component").select("node", "component", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     out = rows.join(named, "node", "left")

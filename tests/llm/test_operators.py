@@ -106,7 +106,7 @@ def test_keep_first_keeps_columns_of_any_name(spark):
 def test_blocks_find_every_link(docs, monkeypatch):
     """Tiny blocks, chunks and fragments give the same components."""
     want = sorted(map(repr, ngram_join.ngram_jaccard_join(docs).select("doc_id", "component_id").collect()))
-    for name, value in (("FRAGMENT", 5_000), ("BLOCK", 500), ("CHUNK", 600), ("HEAVY", 3)):
+    for name, value in (("RANGE", 5_000), ("BLOCK", 500), ("CHUNK", 600), ("HEAVY", 3), ("LIGHT", 100), ("FRAGMENTS", 7)):
         monkeypatch.setattr(ngram_join, name, value)
     assert sorted(map(repr, ngram_join.ngram_jaccard_join(docs).select("doc_id", "component_id").collect())) == want
 
@@ -126,7 +126,7 @@ def test_links_of_near_copies(spark, monkeypatch):
     assert len({n for _, n in want}) > 5
     df = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string").repartition(3)
     for block, chunk, dense in ((100_000, 500_000, 100), (2_000, 3_000, 0), (2_000, 3_000, 1_000_000)):
-        for name, value in (("BLOCK", block), ("CHUNK", chunk), ("DENSE", dense)):
+        for name, value in (("BLOCK", block), ("CHUNK", chunk), ("DENSE", dense), ("LIGHT", 200)):
             monkeypatch.setattr(ngram_join, name, value)
         assert sorted(tuple(r) for r in ngram_join.ngram_jaccard_join(df).select("doc_id", "links").collect()) == want
 
