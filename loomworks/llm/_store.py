@@ -24,12 +24,31 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def scratch(spark: SparkSession):
     """Tables written inside go when it is left: what is wanted later is read and written elsewhere before."""
     _scopes.append(f"scratch-{uuid.uuid4().hex}")
+    names = len(_named)
     try:
         yield
     finally:
+        _drop(spark, names)
         delete(spark, f"{shared_folder(spark)}/{_scopes.pop()}")
 
 
+_named: list[str] = []
+
+
+def bucketed(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """df as a table in buckets by keys: joins and groups by these keys, with as many partitions, don't shuffle it again."""
+    spark, name = df.sparkSession, f"loomworks_{uuid.uuid4().hex}"
+    rows = df.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+    rows.option("compression", "zstd").option("path", fresh_path(spark, "buckets")).saveAsTable(name)
+    _named.append(name)
+    return spark.table(name)
+
+
+def _drop(spark: SparkSession, keep: int) -> None:
+    while len(_named) > keep:
+        spark.sql(f"DROP TABLE IF EXISTS {_named.pop()}")
+
+
 def table(df: DataFrame, name: str, codec: str = "zstd", path: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, and survives the loss of executors."""
     path = path or fresh_path(df.sparkSession, name)
@@ -39,6 +58,7 @@ def table(df: DataFrame, name: str, codec: str = "zstd", path: str | None = None
 
 def drop_tables(spark: SparkSession) -> None:
     """Removes all that this application has written to the shared folder."""
+    _drop(spark, 0)
     delete(spark, shared_folder(spark))
 
 

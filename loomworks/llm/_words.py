@@ -71,6 +71,34 @@ def grouped(part):
     return lambda rows: run(rows)
 
 
+def runs_of(batches, column: str):
+    """Tables of the rows with one value of a column, which are one after another in a partition."""
+    held: list = []
+    for batch in batches:
+        at = np.asarray(batch[column])
+        cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b:
+                if held and held[-1][column][0].as_py() != at[a]:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def by_group(df, groups: int, column: str, part, schema: str):
+    """part(table) of the rows of each group, numbered from 0 in a column: a partition is a group, so none holds two large ones."""
+    from pyspark.sql import functions as F
+
+    def run(batches):
+        for rows in runs_of(batches, column):
+            yield from part(rows).to_batches()
+            release()
+
+    return df.repartitionById(groups, F.col(column)).sortWithinPartitions(column).mapInArrow(run, schema)
+
+
 def slices(column: pa.Array, most: int = 1 << 21):
     """(from, to) of runs of rows with about `most` bytes of text; a longer text is a run of its own."""
     _, offsets = buffers(column)
@@ -121,6 +149,17 @@ class Words:
         return mix(total), self.text[:n] == self.text[k - 1 :]
 
 
+    def names(self, k: int) -> np.ndarray:
+        """A 128-bit name, in two columns, of the k words from each word on, whatever text they lie in."""
+        n = max(0, len(self.hash) - k + 1)
+        total = np.zeros((n, 2), np.uint64)
+        for i in range(k):
+            total[:, 0] += self.hash[i : i + n] * GRAM_KEYS[i]
+            total[:, 1] += mix(self.hash[i : i + n] ^ GRAM_KEYS[61]) * GRAM_KEYS[30 + i % 30]
+            total[:, 1] = (total[:, 1] << np.uint64(7)) | (total[:, 1] >> np.uint64(57))
+        return mix(total)
+
+
 def shingle_sets(column: pa.Array, k: int = 5, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct k-word shingles of each text, ascending, one after another, and where each text's begin.
 

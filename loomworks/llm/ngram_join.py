@@ -188,28 +188,6 @@ def _meet(sent: pa.Table) -> pa.Table:
     return pa.concat_tables(out) if out else _SHARED.empty_table()
 
 
-def _by_range(batches):
-    """The rows of each range of a partition, which are one after another."""
-    held: list = []
-    for batch in batches:
-        at = np.asarray(batch["range"])
-        cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
-        for a, b in zip(cuts, cuts[1:]):
-            if a < b:
-                if held and held[-1]["range"][0].as_py() != at[a]:
-                    yield pa.Table.from_batches(held)
-                    held = []
-                held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _met(batches):
-    for rows in _by_range(batches):
-        yield from _meet(rows).to_batches()
-        W.release()
-
-
 def _shared(docs: DataFrame, k: int, profiles: DataFrame, nodes: DataFrame) -> DataFrame:
     """A row per range and node: its n-grams there that other nodes have too."""
     texts, grams = profiles.where("n is not null").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -220,8 +198,7 @@ def _shared(docs: DataFrame, k: int, profiles: DataFrame, nodes: DataFrame) -> D
     copied = sorted((np.frombuffer(r[0], np.uint64)[0], r[1]) for r in copied.select("node", "low").collect())
     hot_nodes, hot_ids = np.array([x[0] for x in copied], np.uint64), np.array([x[1] for x in copied], np.int64)
     sent = docs.select("doc_id", "text").mapInArrow(lambda it: _send(it, k, ranges, hot_tokens, hot_nodes, hot_ids), "range int, hot boolean, nodes binary, counts binary, tokens binary")
-    # a partition is a range
-    return sent.repartitionById(ranges, F.col("range")).sortWithinPartitions("range").mapInArrow(_met, "node binary, hot boolean, shared long, tokens binary, dfs binary")
+    return W.by_group(sent, ranges, "range", _meet, "node binary, hot boolean, shared long, tokens binary, dfs binary")
 
 
 def _place(value: np.ndarray, df: np.ndarray) -> np.ndarray:

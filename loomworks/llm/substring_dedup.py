@@ -4,15 +4,18 @@ A window is `length` consecutive words.  Its anchor is the smallest hash among i
 it depends on the window's words alone, so all occurrences of a window have the same anchor at the same place.
 
 Plan
-1. `_seeds`: one scan winnows each text; only anchors leave it (about 2 of length - k + 2 words), by ranges of their
+1. The documents are put into buckets by a key of id and text; both joins below leave them where they are.
+2. `_seeds`: one scan winnows each text; only anchors leave it (about 2 of length - k + 2 words), by ranges of their
    hash.  An anchor met twice within a batch of texts is known to be shared there, and one row stands for all its occurrences.
-2. `_shared`: anchors that occur twice or more anywhere.  Most words lie near none and are done.
-3. `_extend`: each shared anchor is extended both ways to the windows that it anchors; these are named by a hash of all
-   their words.  Of a batch's equal windows only the first goes on; the others are repeats already.
-4. `_repeats`: per window, the first of all (smallest doc_id, then start); any later one is a repeat.
-5. `_cut`: a text's overlapping repeats are one maximal repeat, and its words go.
+3. `_shared`: all occurrences of an anchor meet; those of anchors that occur twice or more go back to their documents.  Most words
+   lie near none and are done.
+4. `_extend`: each shared anchor is extended to the left and to the right, to every window that it anchors.  Extensions are
+   compared by a 128-bit name of all their words, once per occurrence: matches are not made pair by pair, which would be quadratic
+   in a passage's copies.  Of a batch's equal windows only the first goes on; the others are repeats already.
+5. `_repeats`: per window, the first of all (smallest doc_id, then start); any later one is a repeat.
+6. `_cut`: a text's overlapping repeats are one maximal repeat, and its words go.
 
-Work is linear in the input: no pairs of occurrences are made, however often a passage occurs.
+Work is linear in the input, however often a passage occurs.
 
 Defined results: a null text has no words.  A null doc_id is later than any other.  Rows with the same doc_id tie (neither is
 earlier than the other at the same start).  Texts with fewer words than a window are kept whole.  Words are kept unchanged.
@@ -29,23 +32,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._store import buckets_for, table
+from ._store import bucketed, buckets_for, table
 
-#: Anchors or windows in a task.
-FRAGMENT = 4_000_000
-_LATE = np.iinfo(np.int64).max
-_SEEDS = pa.schema([("fragment", pa.int32()), ("ids", pa.binary()), ("hashes", pa.binary()), ("counts", pa.binary()), ("anchors", pa.binary()), ("common", pa.binary())])
-_FOUND = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("anchors", pa.binary())])
-_SPANS = pa.schema([("fragment", pa.int32()), ("ids", pa.binary()), ("hashes", pa.binary()), ("windows", pa.binary()), ("starts", pa.binary())])
-_GONE = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("starts", pa.binary())])
+#: Anchors or windows in a task; bytes of text in a bucket, and buckets at most.
+FRAGMENT, BUCKET, BUCKETS = 4_000_000, 32 << 20, 50_000
+KEY = ["k1", "k2"]  # of a row: two hashes of its id and text
+_SEEDS = pa.schema([("fragment", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("anchors", pa.binary()), ("common", pa.binary())])
+_FOUND = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("anchors", pa.binary())])
+_SPANS = pa.schema([("fragment", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("late", pa.binary()), ("counts", pa.binary()), ("windows", pa.binary()), ("starts", pa.binary())])
+_GONE = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("starts", pa.binary())])
 
 
-def _ids(column: pa.Array) -> np.ndarray:
-    return column.fill_null(_LATE).to_numpy(zero_copy_only=False)
+def _keys(batch) -> np.ndarray:
+    return np.stack([np.asarray(batch[c]) for c in KEY], 1)
 
 
-def _nullable(ids: np.ndarray) -> pa.Array:
-    return pa.array(ids, mask=ids == _LATE)
+def _one(data: np.ndarray) -> pa.Array:
+    return pa.array([np.ascontiguousarray(data).tobytes()], pa.binary())
 
 
 def _anchors(words: W.Words, k: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,9 +72,15 @@ def _anchors(words: W.Words, k: int, length: int) -> tuple[np.ndarray, np.ndarra
     return whole, place[whole], grams
 
 
-def _groups(key: np.ndarray) -> np.ndarray:
+def _groups(*keys: np.ndarray) -> np.ndarray:
     """Bounds of the runs of equal keys."""
-    return np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key)) if len(key) else np.zeros(1, np.int64)
+    if not len(keys[0]):
+        return np.zeros(1, np.int64)
+    fresh = np.zeros(len(keys[0]), bool)
+    fresh[0] = True
+    for key in keys:
+        fresh[1:] |= key[1:] != key[:-1]
+    return np.append(np.flatnonzero(fresh), len(fresh))
 
 
 def _seeds(batches, k: int, length: int, fragments: int):
@@ -86,48 +95,48 @@ def _seeds(batches, k: int, length: int, fragments: int):
         doc, value = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((doc, np.int64), (value, np.uint64)))
         if not len(value):
             continue
+        keys = _keys(batch)
+
+        def send(to: int, d: np.ndarray, v: np.ndarray, common: pa.Array) -> pa.RecordBatch:
+            order = np.argsort(d, kind="stable")
+            d, v = d[order], v[order]
+            e = _groups(d)
+            return pa.RecordBatch.from_arrays([pa.array([to], pa.int32()), _one(keys[d[e[:-1]]]), _one(np.diff(e).astype(np.uint32)), _one(v), common], schema=_SEEDS)
+
         order = np.argsort(value, kind="stable")
         doc, value = doc[order], value[order]
         ends = _groups(value)
         many = np.diff(ends) > 1
         common, lone = value[ends[:-1][many]], np.repeat(~many, np.diff(ends))
-        ids, hashes = _ids(batch["doc_id"]), np.asarray(batch["text_hash"])
-        # anchors shared within the batch: their texts learn it at once
-        d, v = doc[~lone], value[~lone]
-        order = np.lexsort((v, d))
-        d, v = d[order], v[order]
-        if len(d):
-            e = _groups(d)
-            own = np.random.default_rng(len(d)).integers(0, fragments, 1)[0]
-            yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), W.blobs(ids[d[e[:-1]]], [0, len(e) - 1]), W.blobs(hashes[d[e[:-1]]], [0, len(e) - 1]), W.blobs(np.diff(e).astype(np.uint32), [0, len(e) - 1]), W.blobs(v, [0, len(v)]), pa.array([None], pa.binary())], schema=_SEEDS)
+        if not lone.all():  # anchors shared within the batch: their texts learn it at once
+            yield send(int(keys[0, 1] % fragments), doc[~lone], value[~lone], pa.array([None], pa.binary()))
         d, v = doc[lone], value[lone]
-        f, g = W.fragment_of(v, fragments), W.fragment_of(common, fragments)
-        for i in range(fragments):
-            a, b = np.searchsorted(f, (i, i + 1))
-            c, e = np.searchsorted(g, (i, i + 1))
-            if a == b and c == e:
-                continue
-            order = np.argsort(d[a:b], kind="stable")
-            dd, vv = d[a:b][order], v[a:b][order]
-            r = _groups(dd)
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), W.blobs(ids[dd[r[:-1]]], [0, len(r) - 1]), W.blobs(hashes[dd[r[:-1]]], [0, len(r) - 1]), W.blobs(np.diff(r).astype(np.uint32), [0, len(r) - 1]), W.blobs(vv, [0, len(vv)]), W.blobs(common[c:e], [0, e - c])], schema=_SEEDS)
+        f, g = W.fragment_of(v, fragments), W.fragment_of(common, fragments)  # values ascend, so these do
+        for i in np.union1d(f, g).tolist():
+            (a, b), (c, e) = (np.searchsorted(x, (i, i + 1)) for x in (f, g))
+            yield send(i, d[a:b], v[a:b], _one(common[c:e]))
+
+
+def _rows_of(sent: pa.Table, *columns: tuple[str, type]) -> list[np.ndarray]:
+    """Of all rows one after another: for each value its text's place, the texts' keys, and the named columns."""
+    counts = W.flat(sent["counts"], np.uint32)[0]
+    return [np.repeat(np.arange(len(counts)), counts), W.flat(sent["keys"], np.int64)[0].reshape(-1, 2), *(W.flat(sent[c], t)[0] for c, t in columns)]
 
 
-def _per_doc(d: np.ndarray, value: np.ndarray, ids: np.ndarray, hashes: np.ndarray, schema: pa.Schema) -> pa.Table:
+def _per_row(d: np.ndarray, value: np.ndarray, keys: np.ndarray, schema: pa.Schema) -> pa.Table:
     order = np.argsort(d, kind="stable")
     d, value = d[order], value[order]
     e = _groups(d)
-    return pa.Table.from_arrays([_nullable(ids[d[e[:-1]]]), pa.array(hashes[d[e[:-1]]]), W.blobs(value, e)], schema=schema)
+    own = keys[d[e[:-1]]]
+    return pa.Table.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1]), W.blobs(value, e)], schema=schema)
 
 
 def _shared(sent: pa.Table) -> pa.Table:
     """Anchors of each text that occur more than once; rows without `common` know it and pass."""
-    known = sent.filter(pa.compute.is_null(sent["common"]))
     out = []
-    for rows, passing in ((known, True), (sent.filter(pa.compute.is_valid(sent["common"])), False)):
-        ids, hashes = W.flat(rows["ids"], np.int64)[0], W.flat(rows["hashes"], np.int64)[0]
-        counts, value = W.flat(rows["counts"], np.uint32)[0], W.flat(rows["anchors"], np.uint64)[0]
-        d = np.repeat(np.arange(len(ids)), counts)
+    known = pa.compute.is_null(sent["common"])
+    for rows, passing in ((sent.filter(known), True), (sent.filter(pa.compute.invert(known)), False)):
+        d, keys, value = _rows_of(rows, ("anchors", np.uint64))
         if not passing:
             common = W.flat(rows["common"], np.uint64)[0]
             every = np.sort(np.concatenate([value, common, common]))
@@ -138,7 +147,7 @@ def _shared(sent: pa.Table) -> pa.Table:
                 keep = twice[np.minimum(np.searchsorted(twice, value), len(twice) - 1)] == value
             d, value = d[keep], value[keep]
         if len(d):
-            out.append(_per_doc(d, value, ids, hashes, _FOUND))
+            out.append(_per_row(d, value, keys, _FOUND))
     return pa.concat_tables(out) if out else _FOUND.empty_table()
 
 
@@ -162,48 +171,47 @@ def _extend(batches, k: int, length: int, fragments: int):
             whole, text = whole[keep], text[keep]
             doc.append(text + a)
             start.append(whole - words.first[text])
-            name.append(words.grams(length)[0][whole])
+            name.append(words.names(length)[whole])
         if not doc:
             continue
         doc, start, name = np.concatenate(doc), np.concatenate(start), np.concatenate(name)
         if not len(doc):
             continue
-        ids, hashes = _ids(batch["doc_id"]), np.asarray(batch["text_hash"])
-        order = np.lexsort((start, ids[doc], name))
+        keys, late = _keys(batch), np.asarray(batch["doc_id"].is_null())
+        ids = batch["doc_id"].fill_null(0).to_numpy(zero_copy_only=False)
+        order = np.lexsort((start, ids[doc], late[doc], name[:, 1], name[:, 0]))
         doc, start, name = doc[order], start[order], name[order]
-        e = _groups(name)
+        e = _groups(name[:, 0], name[:, 1])
         head = np.repeat(e[:-1], np.diff(e))
-        first = (ids[doc] == ids[doc[head]]) & (start == start[head])
-        f = np.where(first, W.fragment_of(name, fragments), -1)
+        first = (ids[doc] == ids[doc[head]]) & (late[doc] == late[doc[head]]) & (start == start[head])
+        f = np.where(first, W.fragment_of(name[:, 0], fragments), -1)
         order = np.lexsort((doc, f))
         doc, start, name, f = doc[order], start[order], name[order], f[order]
         e = _groups(f)
         for a, b in zip(e[:-1], e[1:]):
-            i = int(f[a])
-            to = i if i >= 0 else int(np.random.default_rng(int(b)).integers(0, fragments, 1)[0])
-            yield pa.RecordBatch.from_arrays([pa.array([to], pa.int32()), W.blobs(ids[doc[a:b]], [0, b - a]), W.blobs(hashes[doc[a:b]], [0, b - a]), W.blobs(name[a:b], [0, b - a]) if i >= 0 else pa.array([None], pa.binary()), W.blobs(start[a:b].astype(np.uint32), [0, b - a])], schema=_SPANS)
+            known, r = f[a] < 0, _groups(doc[a:b])
+            own = doc[a:b][r[:-1]]
+            to = int(keys[own[0], 1] % fragments) if known else int(f[a])
+            windows = pa.array([None], pa.binary()) if known else _one(name[a:b])
+            yield pa.RecordBatch.from_arrays([pa.array([to], pa.int32()), _one(keys[own]), _one(ids[own]), _one(late[own].astype(np.uint8)), _one(np.diff(r).astype(np.uint32)), windows, _one(start[a:b].astype(np.uint32))], schema=_SPANS)
 
 
 def _repeats(sent: pa.Table) -> pa.Table:
     """Starts of windows that occur earlier; rows without `windows` are known repeats and pass."""
     out = []
-    for passing in (True, False):
-        rows = sent.filter((pa.compute.is_null if passing else pa.compute.is_valid)(sent["windows"]))
-        ids, hashes, start = (W.flat(rows[c], t)[0] for c, t in (("ids", np.int64), ("hashes", np.int64), ("starts", np.uint32)))
+    known = pa.compute.is_null(sent["windows"])
+    for rows, passing in ((sent.filter(known), True), (sent.filter(pa.compute.invert(known)), False)):
+        d, keys, ids, late, start = _rows_of(rows, ("ids", np.int64), ("late", np.uint8), ("starts", np.uint32))
         if not passing:
-            name = W.flat(rows["windows"], np.uint64)[0]
-            order = np.lexsort((start, ids, name))
-            ids, hashes, start, name = ids[order], hashes[order], start[order], name[order]
-            e = _groups(name)
+            name = W.flat(rows["windows"], np.uint64)[0].reshape(-1, 2)
+            order = np.lexsort((start, ids[d], late[d], name[:, 1], name[:, 0]))
+            d, start, name = d[order], start[order], name[order]
+            e = _groups(name[:, 0], name[:, 1])
             head = np.repeat(e[:-1], np.diff(e))
-            later = (ids != ids[head]) | (start != start[head])
-            ids, hashes, start = ids[later], hashes[later], start[later]
-        if not len(ids):
-            continue
-        order = np.lexsort((start, hashes, ids))
-        ids, hashes, start = ids[order], hashes[order], start[order]
-        e = np.append(np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])])), len(ids))
-        out.append(pa.Table.from_arrays([_nullable(ids[e[:-1]]), pa.array(hashes[e[:-1]]), W.blobs(start, e)], schema=_GONE))
+            later = (ids[d] != ids[d[head]]) | (late[d] != late[d[head]]) | (start != start[head])
+            d, start = d[later], start[later]
+        if len(d):
+            out.append(_per_row(d, start, keys, _GONE))
     return pa.concat_tables(out) if out else _GONE.empty_table()
 
 
@@ -237,23 +245,22 @@ def _digest(batches, length: int):
 
 
 def repeated_windows(docs: DataFrame, k: int = 8, length: int = 20) -> DataFrame:
-    """docs (doc_id, text) with text_hash and starts: binary runs of the first words of windows that occur earlier (or null)."""
-    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    letters = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    fragments = max(12, buckets_for(letters // 40, FRAGMENT))
-    seeds = docs.mapInArrow(lambda it: _seeds(it, k, length, fragments), "fragment int, ids binary, hashes binary, counts binary, anchors binary, common binary")
-    shared = seeds.groupBy("fragment").applyInArrow(W.grouped(lambda t: _shared(t)), "doc_id long, text_hash long, anchors binary")
-    shared = table(shared, "anchors", "lz4").groupBy("doc_id", "text_hash").agg(F.collect_list("anchors").alias("anchors"))
-    near = _by_text(docs, shared, "anchors", "inner").select("doc_id", "text_hash", "text", "anchors")
-    spans = near.mapInArrow(lambda it: _extend(it, k, length, fragments), "fragment int, ids binary, hashes binary, windows binary, starts binary")
-    gone = spans.groupBy("fragment").applyInArrow(W.grouped(lambda t: _repeats(t)), "doc_id long, text_hash long, starts binary")
-    gone = table(gone, "repeats", "lz4").groupBy("doc_id", "text_hash").agg(F.collect_list("starts").alias("starts"))
-    return _by_text(docs, gone, "starts", "left")
-
-
-def _by_text(docs: DataFrame, found: DataFrame, column: str, how: str) -> DataFrame:
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), column)
-    return docs.join(found, docs.doc_id.eqNullSafe(F.col("_id")) & (docs.text_hash == F.col("_hash")), how).drop("_id", "_hash")
+    """docs (doc_id, text) with starts: binary runs of the first words of windows that occur earlier (or null)."""
+    letters = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    fragments, buckets = max(12, buckets_for(letters // 40, FRAGMENT)), min(max(12, buckets_for(letters, BUCKET)), BUCKETS)
+    named = docs.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(9), "doc_id", "text").alias("k2"))
+    seeds = named.mapInArrow(lambda it: _seeds(it, k, length, fragments), "fragment int, keys binary, counts binary, anchors binary, common binary")
+    shared = table(W.by_group(seeds, fragments, "fragment", _shared, "k1 long, k2 long, anchors binary"), "anchors", "lz4")
+    placed = bucketed(named, KEY, buckets)
+    near = placed.join(_together(shared, "anchors", buckets), KEY)
+    spans = near.mapInArrow(lambda it: _extend(it, k, length, fragments), "fragment int, keys binary, ids binary, late binary, counts binary, windows binary, starts binary")
+    gone = table(W.by_group(spans, fragments, "fragment", _repeats, "k1 long, k2 long, starts binary"), "repeats", "lz4")
+    return placed.join(_together(gone, "starts", buckets), KEY, "left")
+
+
+def _together(found: DataFrame, column: str, buckets: int) -> DataFrame:
+    """All of a row's findings, in the documents' buckets."""
+    return found.repartition(buckets, *KEY).groupBy(*KEY).agg(F.collect_list(column).alias(column))
 
 
 def substring_dedup(docs: DataFrame, k: int = 8, length: int = 20) -> DataFrame:

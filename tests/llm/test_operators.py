@@ -154,6 +154,17 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.substring_digest(empty).count() == 0
 
 
+def test_substring_dedup_of_the_largest_id_and_none(spark, monkeypatch):
+    """A null id is later than the largest; small fragments and buckets; columns that clash."""
+    monkeypatch.setattr(substring_dedup, "FRAGMENT", 3)
+    passage = " ".join(f"w{i}" for i in range(30))
+    data = [(None, f"n {passage}"), (2**63 - 1, f"{passage} m"), (-(2**63), "o " * 25), (7, "short text")]
+    names = ["k1", "k2", "anchors", "starts", "fragment", "ids"]
+    df = spark.createDataFrame([(*r, *["z"] * len(names)) for r in data], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.substring_dedup(df).collect()}
+    assert got == {None: (31, 30, "n"), 2**63 - 1: (31, 0, f"{passage} m"), -(2**63): (25, 24, "o"), 7: (2, 0, "short text")}
+
+
 def test_sharding(docs, empty):
     got = sharding.document_shards(docs).collect()
     size = lambda t: len((t or "").encode())
