@@ -1,15 +1,18 @@
 """Operator 6: toxicity by a weighted finite-state pattern grammar.
 
-Five transducers read a clause's words: insults and threats (weighted), targets, negations and reported speech.  Their
-composition runs over the clause as one automaton whose state is (words since a negation, reported or not, target seen);
-it emits matched clauses of eight kinds with their weights.  A text's score is logistic in the sums over its clauses, so a word
-counts by the clause that it stands in.
+Five transducers, each a table over one alphabet of word classes, rewrite the words of a text in turn: `negation` marks insults and
+threats within SCOPE words of a negation, `reported` those behind a word of reported speech, `target` tells the end of a clause
+that aims at someone, `insult` and `threat` turn what is left into matches.  `compose` makes one deterministic machine of them,
+which scoring runs once over a text; words outside the lexicon only count down the scope.  It matches clauses of eight
+kinds, and a match weighs what its words weigh.  A text's score is logistic in the sums over its clauses, so a word counts by the
+clause that it stands in.
 
-Learned, from labelled rows only (at most `max_rows` of them, the least by a hash of the id): the insults' and threats'
-weights (log odds of distinct training texts that have the word; words that training texts show as toxic join the insults), and
-the weights of the kinds (logistic regression).  The lists below are where the lexicon starts.
+Learned, from labelled rows only (at most `max_rows` of them, the least by a hash of the id): the words' weights (log odds of
+distinct training texts that have the word; start words keep a prior of one text), further arcs of the insult transducer (every word
+whose log odds are over MARGIN with a confidence of Z standard errors; there is no limit to their number), and the weights of the
+kinds (logistic regression).  The lists below are where the lexicon starts.
 
-Scoring is one scan without a shuffle; texts are read whole, and the model is at most `max_words` words.
+Scoring is one scan without a shuffle; texts are read whole, and the model is at most the words of `max_rows` texts.
 
 Defined results: a null or empty text has no clause, and the score of one.  Rows that repeat score alike.  A null doc_id counts
 as the empty string for the held-out rule.  Without labelled rows of both kinds the start weights are used.
@@ -17,8 +20,8 @@ as the empty string for the held-out rule.  Without labelled rows of both kinds
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,11 @@ NEGATIONS = "not no never none nobody isn aren wasn don doesn without nicht nie
 REPORTS = "said says say told wrote writes quoted called claimed reported according sagte sagt schrieb nannte behauptete dit disait écrit affirme déclare dijo dice escribió llamó afirma"
 KINDS = ("insult", "aimed_insult", "negated_insult", "reported_insult", "threat", "aimed_threat", "negated_threat", "reported_threat")
 SCOPE = 4  # words that a negation reaches
-_INSULT, _THREAT, _TARGET, _NEGATION, _REPORT = range(5)
+#: The alphabet.  The first five are the classes of the lexicon; what follows `end` is written by transducers.
+ALPHABET = ("insult", "threat", "target", "negation", "report", "other", "end", "negated insult", "negated threat", "reported insult", "reported threat", "aimed end")
+_INSULT, _THREAT, _TARGET, _NEGATION, _REPORT, _OTHER, _END = range(7)
+#: Learned words: log odds over MARGIN by Z standard errors.
+Z, MARGIN = 1.96, 1.5
 _SEPARATORS = bytes(c for c in range(128) if not chr(c).isalpha())
 _CLAUSE_ENDS = b".!?;\n"
 _WORD_SQL = r"[\x00-@\[-`{-\x7f]+"
@@ -59,35 +66,129 @@ def start_grammar() -> Grammar:
     return Grammar({w: (k, 3.0 if k == _INSULT else 1.0) for k, text in lists for w in text.split()})
 
 
+@dataclass(frozen=True)
+class Transducer:
+    """to[state][symbol] and out[state][symbol]; state 0 is the first, and symbols are places in ALPHABET."""
+
+    to: tuple[tuple[int, ...], ...]
+    out: tuple[tuple[int, ...], ...]
+
+    def run(self, symbols: list[int]) -> list[int]:
+        state, written = 0, []
+        for x in symbols:
+            written.append(self.out[state][x])
+            state = self.to[state][x]
+        return written
+
+
+def transducer(states: int, rule) -> Transducer:
+    """rule(state, symbol's name) -> (state, symbol's name)."""
+    rows = [[rule(s, x) for x in ALPHABET] for s in range(states)]
+    return Transducer(tuple(tuple(t for t, _ in r) for r in rows), tuple(tuple(ALPHABET.index(o) for _, o in r) for r in rows))
+
+
+def negation(scope: int = SCOPE) -> Transducer:
+    """The state is how many words a negation still reaches."""
+
+    def rule(left: int, x: str) -> tuple[int, str]:
+        if x in ("end", "negation"):
+            return (0, x) if x == "end" else (scope, "other")
+        return max(0, left - 1), f"negated {x}" if left and x in ("insult", "threat") else x
+
+    return transducer(scope + 1, rule)
+
+
+def reported() -> Transducer:
+    """State 1: the clause has a word of reported speech.  What is negated stays so."""
+
+    def rule(state: int, x: str) -> tuple[int, str]:
+        if x in ("end", "report"):
+            return (0, x) if x == "end" else (1, "other")
+        return state, f"reported {x}" if state and x in ("insult", "threat") else x
+
+    return transducer(2, rule)
+
+
+def target() -> Transducer:
+    """State 1: the clause names someone; its end says so."""
+
+    def rule(state: int, x: str) -> tuple[int, str]:
+        if x in ("end", "target"):
+            return (0, "aimed end" if state else "end") if x == "end" else (1, "other")
+        return state, x
+
+    return transducer(2, rule)
+
+
+def insult() -> Transducer:
+    """Lets insults through while it reads a clause, and clause ends; marks what it has no arc for."""
+    return transducer(1, lambda s, x: (s, x if "insult" in x or "threat" in x or "end" in x else "other"))
+
+
+def threat() -> Transducer:
+    return transducer(1, lambda s, x: (s, x))
+
+
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """The machine that writes what b writes when it reads what a writes; its states are pairs that can be reached."""
+    names, pending, to, out = {(0, 0): 0}, [(0, 0)], [], []
+    for s, t in pending:  # grows while it is read
+        row_to, row_out = [], []
+        for x in range(len(ALPHABET)):
+            y = a.out[s][x]
+            pair = (a.to[s][x], b.to[t][y])
+            if pair not in names:
+                names[pair] = len(names)
+                pending.append(pair)
+            row_to.append(names[pair])
+            row_out.append(b.out[t][y])
+        to.append(tuple(row_to))
+        out.append(tuple(row_out))
+    return Transducer(tuple(to), tuple(out))
+
+
+def machine() -> tuple[Transducer, tuple[tuple[int, ...], ...]]:
+    """All five as one, and where each of its states is after 0 to SCOPE words of no class (more change nothing)."""
+    whole = reduce(compose, (negation(), reported(), target(), insult(), threat()))
+    after = [tuple(range(len(whole.to)))]
+    for _ in range(SCOPE):
+        after.append(tuple(whole.to[s][_OTHER] for s in after[-1]))
+    return whole, tuple(after)
+
+
+#: Plain tables, which go to the executors with the functions that use them.
+_TO, _OUT, _AFTER = (machine()[0].to, machine()[0].out, machine()[1])
+
+#: Where a match's weight goes: kinds of clauses without an aim; those with one follow theirs.
+_KIND_OF = {"insult": 0, "negated insult": 2, "reported insult": 3, "threat": 4, "negated threat": 6, "reported threat": 7}
+_PLACE = tuple(_KIND_OF.get(x, -1) for x in ALPHABET)
+_AIMED_END = ALPHABET.index("aimed end")
+
+
 def run_clauses(kind: np.ndarray, weight: np.ndarray, place: np.ndarray, clause: np.ndarray) -> tuple[list[float], float, int]:
-    """The composed automaton over the words of a text that are in the lexicon: sums by kind, best clause, and how many
+    """The composed machine over the words of a text that are in the lexicon: sums by kind, best clause, and how many
     insults and threats are neither negated nor reported."""
-    sums, best, direct, at = [0.0] * len(KINDS), 0.0, 0, -1
-    negated, reported, aimed, pending = -SCOPE - 1, False, False, []
-
-    def emit() -> float:
-        nonlocal direct
-        total = 0.0
-        for base, w, mark in pending:
-            i = base + (2 if mark == 1 else 3 if mark == 2 else 1 if aimed else 0)
-            sums[i] += w
-            if i in (0, 1, 4, 5):
-                total, direct = total + w, direct + 1
-        return total
-
-    for k, w, p, c in zip(kind.tolist(), weight.tolist(), place.tolist(), clause.tolist()):
+    to, out, after = _TO, _OUT, _AFTER
+    sums, best, direct = [0.0] * len(KINDS), 0.0, 0
+    state, at, last, insults, threats, held = 0, None, 0, 0.0, 0.0, 0
+    for x, w, p, c in [*zip(kind.tolist(), weight.tolist(), place.tolist(), clause.tolist()), (_OTHER, 0.0, 0, -1)]:
         if c != at:
-            best = max(best, emit())
-            negated, reported, aimed, pending, at = -SCOPE - 1, False, False, [], c
-        if k == _NEGATION:
-            negated = p
-        elif k == _REPORT:
-            reported = True
-        elif k == _TARGET:
-            aimed = True
-        else:
-            pending.append((0 if k == _INSULT else 4, w, 1 if p - negated <= SCOPE else 2 if reported else 0))
-    best = max(best, emit())
+            if at is not None:
+                aimed = out[state][_END] == _AIMED_END
+                sums[aimed] += insults
+                sums[4 + aimed] += threats
+                best, direct = max(best, insults + threats), direct + held
+                insults, threats, held, state = 0.0, 0.0, 0, to[state][_END]
+            at, last = c, p - 1
+        state = after[min(p - last - 1, SCOPE)][state]
+        i = _PLACE[out[state][x]]
+        if i == 0:
+            insults, held = insults + w, held + 1
+        elif i == 4:
+            threats, held = threats + w, held + 1
+        elif i > 0:
+            sums[i] += w
+        state, last = to[state][x], p
     return sums, best, direct
 
 
@@ -143,7 +244,7 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 50) ->
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, max_words: int = 3_000, least: int = 3) -> Grammar:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000) -> Grammar:
     """A grammar learned from labels (doc_id, toxic) and docs (doc_id, text).  labels: training rows only."""
     grammar = start_grammar()
     rows = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -156,13 +257,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, max_words: i
         fold = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
         words = texts.select("toxic", F.explode(F.array_distinct(F.split(fold, _WORD_SQL))).alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
         odds = F.log((F.col("a") + 0.5) / (toxic + 1)) - F.log((F.col("b") + 0.5) / (clean + 1))
-        floor = max(least, math.ceil(0.004 * toxic))
+        error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
         known = [w for w, (k, _) in grammar.weights.items() if k <= _THREAT]
-        shown = words.where(F.col("word") != "").withColumn("odds", odds).where(((F.col("a") >= floor) & (F.col("odds") >= 2.5)) | F.col("word").isin(known))
-        for word, a, b, odds in shown.select("word", "a", "b", "odds").orderBy(F.col("odds").desc(), "word").limit(max_words).collect():
-            k = grammar.weights.get(word, (_INSULT, 0.0))[0]
+        shown = words.where(F.col("word") != "").withColumns({"odds": odds, "error": error}).where((F.col("odds") - Z * F.col("error") > MARGIN) | F.col("word").isin(known))
+        for word, odds, error in shown.select("word", "odds", "error").collect():
+            k, prior = grammar.weights.get(word, (_INSULT, None))
             if k <= _THREAT:
-                grammar.weights[word] = (k, max(0.05, odds) if a + b >= least else grammar.weights[word][1])
+                sure = 1 / error**2
+                grammar.weights[word] = (k, odds if prior is None else max(0.05, (odds * sure + prior) / (sure + 1)))
         data = texts.mapInArrow(lambda it: _training(it, grammar), "toxic int, features array<double>").collect()
         x, y = np.array([r[1] for r in data]), np.array([r[0] for r in data], float)
         kinds, bias = logistic(x, y)

@@ -620,6 +620,45 @@ def test_toxicity(spark, docs, empty):
     assert none.weights == plain.weights
 
 
+def test_machine_is_the_cascade():
+    """The composed machine writes what the five write in turn, and both what a plain reading of the rules gives."""
+    rng = np.random.default_rng(1)
+    five = (toxicity.negation(), toxicity.reported(), toxicity.target(), toxicity.insult(), toxicity.threat())
+    whole, after = toxicity.machine()
+    assert 8 < len(whole.to) <= 5 * 2 * 2
+    for _ in range(300):
+        symbols = [*rng.integers(0, 7, rng.integers(1, 40)).tolist(), 6]
+        step = symbols
+        for t in five:
+            step = t.run(step)
+        names, want, begin = [toxicity.ALPHABET[x] for x in symbols], [], 0
+        for i, x in enumerate(names):
+            clause = names[begin:i]
+            if x in ("insult", "threat"):
+                mark = "negated " if "negation" in clause[-toxicity.SCOPE :] else "reported " if "report" in clause else ""
+                want.append(mark + x)
+            elif x == "end":
+                want.append("aimed end" if "target" in clause else "end")
+                begin = i + 1
+            else:
+                want.append("other")
+        assert whole.run(symbols) == step == [toxicity.ALPHABET.index(x) for x in want]
+        # words of no class in a row: the counted form goes where the machine goes
+        state = walked = int(rng.integers(0, len(whole.to)))
+        n = int(rng.integers(0, 9))
+        for _ in range(n):
+            walked = whole.to[walked][toxicity.ALPHABET.index("other")]
+        assert after[min(n, toxicity.SCOPE)][state] == walked
+
+
+def test_empty_texts_score_alike(spark):
+    grammar = toxicity.start_grammar()
+    data = [(1, None), (2, ""), (3, " \n."), (4, "plain words here"), (None, "you idiot"), (None, "you idiot"), (5, "no " * 50_000 + "idiot")]
+    got = sorted(toxicity.score_documents(spark.createDataFrame(data, "doc_id long, text string"), grammar).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0))
+    assert len({r.score for r in got[:4]}) == 1 and got[5].score == got[6].score > got[0].score
+    assert got[0].score == pytest.approx(1 / (1 + math.exp(-grammar.bias))) and all(r.held_out == (zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 5 == 0) for r in got)
+
+
 def test_clauses_not_words():
     run = lambda words: toxicity.run_clauses(*map(np.array, zip(*words)))[0]
     insult, target, negation, report = 0, 2, 3, 4
