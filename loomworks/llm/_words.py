@@ -16,6 +16,8 @@ _RNG = np.random.Generator(np.random.PCG64(20240607))
 BYTE_KEYS = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 GRAM_KEYS = _RNG.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 POWER = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes whose words are hashed together; a longer text is hashed in pieces, and only its words' numbers are held for all of it.
+PIECE = 4 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -110,30 +112,54 @@ def slices(column: pa.Array, most: int = 1 << 21):
         at = to
 
 
+def _piece_end(data: np.ndarray, sep: np.ndarray, cuts: np.ndarray, at: int) -> int:
+    """The end of the piece of about PIECE bytes from `at` on: a text's end, or the first separator behind PIECE bytes."""
+    if len(data) - at <= PIECE:
+        return len(data)
+    place = at + PIECE
+    end = int(cuts[np.searchsorted(cuts, place)])
+    while place < end:
+        found = np.flatnonzero(sep[data[place : min(place + 4096, end)]])
+        if len(found):
+            return place + int(found[0])
+        place += 4096
+    return end
+
+
+def _hashed(data: np.ndarray, cuts: np.ndarray, keys: np.ndarray, sep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end and hash of each word; no word lies across a cut."""
+    inside = ~sep[data]
+    starts, ends = inside.copy(), inside.copy()
+    starts[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    heads, tails = cuts[cuts < len(data)], cuts[cuts > 0] - 1
+    starts[heads], ends[tails] = inside[heads], inside[tails]
+    start, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    size = end - start
+    if not len(size):
+        return start, end, np.zeros(0, np.uint64)
+    at = np.flatnonzero(inside)
+    first = np.concatenate([[0], np.cumsum(size)[:-1]])
+    powers = np.multiply.accumulate(np.full(int(size.max()), POWER, np.uint64))
+    return start, end, mix(np.add.reduceat(keys[data[at]] * powers[np.arange(len(at)) - np.repeat(first, size)], first) + size.astype(np.uint64) * GRAM_KEYS[63])
+
+
 class Words:
     """Words of a run of texts: hash, first byte and end of each; first[i] is the first word of text i."""
 
     def __init__(self, column: pa.Array, keys: np.ndarray = BYTE_KEYS, sep: np.ndarray | None = None):
         data, offsets = buffers(column)
         self.data, self.offsets = data, offsets
-        inside = ~(separators() if sep is None else sep)[data]
-        starts = inside.copy()
-        starts[1:] &= ~inside[:-1]
-        ends = inside.copy()
-        ends[:-1] &= ~inside[1:]
-        heads = offsets[:-1][np.diff(offsets) > 0]  # a text's first byte starts a word, its last byte ends one
-        starts[heads] = inside[heads]
-        tails = offsets[1:][np.diff(offsets) > 0] - 1
-        ends[tails] = inside[tails]
-        self.start, self.end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-        size = self.end - self.start
-        if len(size):
-            at = np.flatnonzero(inside)
-            first = np.concatenate([[0], np.cumsum(size)[:-1]])
-            powers = np.multiply.accumulate(np.full(int(size.max()), POWER, np.uint64))
-            self.hash = mix(np.add.reduceat(keys[data[at]] * powers[np.arange(len(at)) - np.repeat(first, size)], first) + size.astype(np.uint64) * GRAM_KEYS[63])
-        else:
-            self.hash = np.zeros(0, np.uint64)
+        sep = separators() if sep is None else sep
+        cuts = np.unique(offsets)
+        pieces, at = [], 0
+        while at < len(data):  # pieces end at a separator or with a text
+            to = _piece_end(data, sep, cuts, at)
+            pieces.append((at, *_hashed(data[at:to], cuts[(cuts >= at) & (cuts <= to)] - at, keys, sep)))
+            at = to
+        together = lambda found, kind: np.concatenate(found) if found else np.zeros(0, kind)
+        self.start, self.end = (together([p[0] + p[i] for p in pieces], np.int64) for i in (1, 2))
+        self.hash = together([p[3] for p in pieces], np.uint64)
         self.first = np.searchsorted(self.start, offsets)
         self.count = np.diff(self.first)
         self.text = np.repeat(np.arange(len(column)), self.count)

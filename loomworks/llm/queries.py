@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .curves_ann import nearest
+from .curves_ann import NEAREST_SQL, nearest
 from .exact_topk import TOPK_SQL, exact_topk
 from .mixing import MIX_SQL, document_mix
 from .ngram_join import JOIN_SQL, ngram_jaccard_join
@@ -81,4 +81,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_source_mixing": MIX_SQL,
         "op8_warc": ARCHIVE_SQL,
         "op9_substring_dedup": DEDUP_SQL,
+        "op10_curves_ann": NEAREST_SQL,
     }

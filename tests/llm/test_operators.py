@@ -73,6 +73,44 @@ def groups(sets, links):
     return [find(i) for i in range(len(sets))]
 
 
+def test_words_in_pieces(monkeypatch):
+    """A text that is hashed in pieces has the words, hashes and places that it has at once."""
+    import pyarrow as pa
+
+    from loomworks.llm import _words
+
+    column = pa.array([*texts()[-60:], " ", "x" * 9_000 + " y", None, "a" + "\t" * 5_000 + "é", ""])
+    whole = _words.Words(column)
+    for piece in (1, 7, 64, 4_096):
+        monkeypatch.setattr(_words, "PIECE", piece)
+        parts = _words.Words(column)
+        for name in ("start", "end", "hash", "first", "count", "text"):
+            assert (getattr(whole, name) == getattr(parts, name)).all(), (piece, name)
+    found = [whole.data[a:b].tobytes().decode() for a, b in zip(whole.start, whole.end)]
+    assert found == [w for t in column.to_pylist() for w in WORD.findall(t or "")]
+
+
+def test_one_long_text(spark, monkeypatch):
+    """A text over many slices and pieces: n-grams, repeats and clauses of all of it."""
+    from loomworks.llm import _words
+
+    monkeypatch.setattr(_words, "PIECE", 1 << 16)
+    monkeypatch.setattr(ngram_join, "SLICE", 1 << 16)
+    rng = np.random.default_rng(3)
+    words = np.array([prose(rng, 1) for _ in range(5_000)])[rng.integers(0, 5_000, 400_000)].tolist()
+    changed = list(words)
+    changed[399_990] = "zz9"
+    passage = " ".join(words[390_000:390_060])
+    data = [(1, " ".join(words)), (2, " ".join(changed)), (3, f"start {passage} end"), (4, " ".join(words[:50]) + ". you idiot")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    joined = {r.doc_id: (r.component_id, r.links) for r in ngram_join.ngram_jaccard_join(df).collect()}
+    assert joined == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0)}
+    gone = {r.doc_id: r.n_removed for r in substring_dedup.substring_digest(df).collect()}
+    assert gone[2] >= 399_900 and gone[3] == 60 and gone[4] == 49  # the last of the 50 has a full stop
+    scores = {r.doc_id: r.score for r in toxicity.score_documents(df, toxicity.start_grammar()).collect()}
+    assert scores[4] > scores[3]
+
+
 def test_ngram_join(docs, empty):
     data = [(r[0], r[1]) for r in rows()]
     sets = []
@@ -567,6 +605,27 @@ def test_recall_on_the_test_table(spark, monkeypatch, sf):
     assert hits >= 0.9 * wanted
 
 
+def test_neighbours_agree_with_sql(spark):
+    """Digit for digit on the smallest table, where all queries are in the sample."""
+    import duckdb
+
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet'")
+    want = con.execute(f"SELECT query_id, rank, vec_id, score FROM ({curves_ann.NEAREST_SQL})").fetchall()
+    got = curves_ann.nearest(spark.read.parquet(f"{folder}/embeddings.parquet"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) == 50
+
+
+def test_cosines_of_any_size():
+    rng = np.random.default_rng(2)
+    a, b = rng.standard_normal((2, 50, 9))
+    plain = curves_ann.cosines(a, b)
+    assert np.allclose(plain, (a * b).sum(1) / np.linalg.norm(a, axis=1) / np.linalg.norm(b, axis=1))
+    for e in (-1000, 900):
+        assert (curves_ann.cosines(np.ldexp(a, e), b) == plain).all()
+
+
 def test_windows_cross_partitions(spark, monkeypatch):
     """A query finds a neighbour at the next rank, whatever partition, chunk or block either is in."""
     for name, value in (("PART", 16), ("CHUNK", 7), ("BLOCK", 11)):
