@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+from itertools import dropwhile, takewhile
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -32,29 +33,28 @@ def signature_and_body(code: str | None) -> tuple[str | None, str | None]:
 
 
 def _signature(rows: list[str], name: str) -> str | None:
-    """From the first line that opens a definition and contains the name, to a line that ends in a colon."""
-    head = next((i for i, row in enumerate(rows) if row.strip().startswith("def ") and name in row), None)
-    if head is None:
-        return None
-    last = next((i for i in range(head, len(rows)) if rows[i].rstrip().endswith(":")), len(rows) - 1)
-    return "\n".join(rows[head : last + 1]).strip()
+    """From the first line that opens a definition and has the name in it, through the first that ends in a colon (or all).
+
+    So the name of a longer function may match first, and a comment behind the colon takes the lines that follow along.
+    """
+    found = list(dropwhile(lambda row: not (row.lstrip().startswith("def ") and name in row), rows))
+    colons = (i for i, row in enumerate(found, 1) if row.rstrip().endswith(":"))
+    return "\n".join(found[: next(colons, len(found))]).strip() if found else None
 
 
 def _body(rows: list[str], found: ast.FunctionDef) -> str | None:
-    """After the `def` line or the docstring, up to a line at the margin, without the first line's indent."""
-    opening = found.body[0]
-    doc = isinstance(opening, ast.Expr) and isinstance(opening.value, ast.Constant) and isinstance(opening.value.value, str)
-    rest = rows[opening.end_lineno if doc else found.lineno :]
-    if not doc:
-        rest = rest[next((i for i, row in enumerate(rest) if row.strip()), len(rest)) :]
-    stop = next((i for i, row in enumerate(rest) if row and not row[0].isspace()), len(rest))
-    begin = next((i for i, row in enumerate(rest[:stop]) if row.strip()), stop)
-    kept = rest[begin:stop]
-    if not kept:
+    """What is indented behind the docstring, or behind the `def` line: the tree tells where either ends.
+
+    So parameters on lines of their own count as body where there is no docstring, and a body on the `def` line as none.  The
+    first line's indent is cut off every line that is as long; blank lines are emptied.
+    """
+    begin = found.body[0].end_lineno if ast.get_docstring(found, clean=False) is not None else found.lineno
+    block = takewhile(lambda row: not row or row[0].isspace(), rows[begin:])
+    lines = list(dropwhile(lambda row: not row.strip(), block))
+    if not lines:
         return None
-    indent = len(kept[0]) - len(kept[0].lstrip())
-    shifted = ["" if not row.strip() else row[indent:] if len(row) >= indent else row for row in kept]
-    return "\n".join(shifted).rstrip()
+    margin = len(lines[0]) - len(lines[0].lstrip())
+    return "\n".join(row[margin if len(row) >= margin else 0 :] if row.strip() else "" for row in lines).rstrip()
 
 
 @F.arrow_udf(BooleanType())
