@@ -18,6 +18,9 @@ TITLES = {
     "readability": "Code Readability & Structure",
 }
 MODES = ("FIM", "L2R")
+# Headings and lines of the text report.
+REPORT, SUMMARY, BY_DIMENSION, AVERAGES = "CODE QUALITY RATING STATISTICS REPORT", "## Overall Summary", "## Dimension-wise Statistics", "## Overall Average Across All Dimensions"
+SAMPLES, COUNT, AVERAGE, DIFFERENCE = "{} Total Samples: {}", "  Count:  {}", "{} Overall Average: {:.3f}", "Difference (L2R - FIM): {:+.3f}"
 
 
 def by_mode(fim: DataFrame, l2r: DataFrame) -> DataFrame:
@@ -80,22 +83,19 @@ def report(stats: dict) -> str:
     """SNK6: the text report of ten rows of statistics."""
     wide, thin = "=" * 80, "-" * 80
     heading = lambda title: [wide, title, wide, ""]
-    out = heading("CODE QUALITY RATING STATISTICS REPORT") + ["## Overall Summary", ""]
-    out += [f"{m} Total Samples: {stats[m, 'problem_design']['count']}" for m in MODES] + [""]
-    out += heading("## Dimension-wise Statistics")
-
-    def difference(values: dict[str, float]) -> str:
-        return f"Difference (L2R - FIM): {values['L2R'] - values['FIM']:+.3f}"
-
+    out = heading(REPORT) + [SUMMARY, ""]
+    out += [SAMPLES.format(m, stats[m, "problem_design"]["count"]) for m in MODES] + [""]
+    out += heading(BY_DIMENSION)
+    difference = lambda values: DIFFERENCE.format(values["L2R"] - values["FIM"])
     for d, title in TITLES.items():
         out += [f"### {title}", ""]
         for m in MODES:
             s = stats[m, d]
-            out += [f"{m}:", *(f"  {k.capitalize() + ':':<8}{s[k]:.3f}" for k in ("mean", "median", "std")), f"  Count:  {s['count']}", ""]
+            out += [f"{m}:", *(f"  {k.capitalize() + ':':<8}{s[k]:.3f}" for k in ("mean", "median", "std")), COUNT.format(s["count"]), ""]
         out += [difference({m: stats[m, d]["mean"] for m in MODES}), "", thin, ""]
     averages = {m: sum(stats[m, d]["mean"] for d in TITLES) / len(TITLES) for m in MODES}
-    out += heading("## Overall Average Across All Dimensions")
-    return "\n".join(out + [f"{m} Overall Average: {averages[m]:.3f}" for m in MODES] + [difference(averages), "", wide])
+    out += heading(AVERAGES)
+    return "\n".join(out + [AVERAGE.format(m, averages[m]) for m in MODES] + [difference(averages), "", wide])
 
 
 def plots(stats: dict, bins: DataFrame, folder: str) -> list[str]:
