@@ -35,3 +35,35 @@ def test_entry_imports_and_runs(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_entry_without_the_subpackage(monkeypatch):
+    """A subpackage that is gone, or that lacks what it imports, leaves the other queries as they are."""
+    import importlib
+    import sys
+
+    import __spark_entry__ as entry
+
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)  # as if it were not there
+    try:
+        importlib.reload(entry)
+        assert set(entry.queries()) == set(catalog.queries()) and set(entry.oracle_sql()) == set(catalog.oracle_sql())
+    finally:
+        monkeypatch.undo()
+        importlib.reload(entry)
+
+
+def test_a_folder_of_one_machine_is_refused_on_a_cluster():
+    from types import SimpleNamespace
+
+    from loomworks.sources import scratch
+
+    def session(master, folder):
+        context = SimpleNamespace(master=master, applicationId="a", getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None)
+        return SimpleNamespace(conf={"spark.checkpoint.dir": folder}, sparkContext=context)
+
+    assert scratch.shared_folder(session("spark://h:7077", "hdfs://x")) == "hdfs://x/loomworks/a"
+    assert scratch.shared_folder(session("local[4]", None)).startswith("file://")
+    for master in ("spark://h:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch.shared_folder(session(master, None))
