@@ -11,8 +11,8 @@ Plan
    the first n - ceil(t*n) + 1 of both, so a node whose unshared n-grams fill that prefix has no partner.
 4. `_homes`: a prefix n-gram proposes its most central node; the one that most of a node's prefix n-grams propose is its
    home, so near copies come to lie in the same blocks.
-5. `_meetings`: nodes are cut into blocks; a block meets, in chunks, the nodes of its own home and those of other homes that
-   share a prefix n-gram with it.
+5. `_meetings`: small homes are pooled, and nodes are cut into blocks; a block meets, in chunks, the nodes of its own home and those
+   of other homes that share a prefix n-gram with it.
 6. `_partial`: the global order is cut into FRAGMENTS fragments of about equal weight.  A task has one fragment of one meeting:
    segments of the nodes' n-grams.  It counts the partial overlaps of all pairs.  Segments know how many n-grams are before and
    behind them, so a pair that even full overlap there can't lift to the threshold is left out; any other is sent on.
@@ -374,7 +374,12 @@ def _total(rows: pa.Table, percent: int) -> pa.Table:
 
 def _meetings(nodes: DataFrame, postings: DataFrame, home: DataFrame) -> DataFrame:
     """(home, i, chunk, node, is_x, inner): the blocks' nodes, and in chunks those that they meet."""
-    x = nodes.select("node", F.greatest("grams", F.lit(LIGHT)).alias("grams")).join(home, "node")
+    x = table(nodes.select("node", F.greatest("grams", F.lit(LIGHT)).alias("grams")).join(home, "node"), "homes")
+    size = x.groupBy("home").agg(F.sum("grams").alias("all"))
+    small = F.col("all") <= BLOCK // 4  # small homes share one, about half a block each
+    pools = max(1, -(-2 * (size.where(small).agg(F.sum("all")).first()[0] or 0) // BLOCK))
+    pool = F.concat(F.lit("pool "), F.pmod(F.xxhash64("home"), F.lit(pools)).cast("string")).cast("binary")
+    x = table(x.join(size, "home").select("node", "grams", F.when(small, pool).otherwise(F.col("home")).alias("home")), "pooled")
     x = x.join(x.groupBy("home").agg(F.ceil(F.sum("grams") / BLOCK).alias("blocks")), "home")
     x = table(x.select("node", "grams", "home", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("i")), "blocks")
     # blocks of one home meet each other; of two blocks the lesser asks
