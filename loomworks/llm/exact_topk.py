@@ -3,7 +3,7 @@
 Plan
 1. Vectors become integers; a vector's bucket is its place in a geometric grid of norms (STEP apart), cut into chunks of
    about BUCKET rows by a hash, so that equal norms, or copies of one vector, are many units.
-2. The query blocks first meet the chunk of greatest norms that has enough rows: its k-th product bounds each query's result.
+2. Queries of like norms are a block.  The blocks first meet the chunk of greatest norms that has enough rows: its k-th product bounds each query's result.
 3. A row is sent to a query block only if its norm and the greatest of the block can reach the block's least bound; buckets
    are matched with blocks first, by a table of norms and bounds.  In the unit, a query's local cosine threshold is
    bound / (its norm * the chunk's greatest norm): over 1, the query is done; below COSINE the chunk is pruned by length, in
@@ -27,7 +27,7 @@ import sys
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _words as W
@@ -134,11 +134,15 @@ def exact_topk(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256
     rows = rows.withColumn("embedding", F.col("embedding").cast(f"array<{narrow}>")).drop("most")
     grid = rows.groupBy("grid").agg(F.count("*").alias("n"), F.max("norm").alias("top")).withColumn("chunks", F.ceil(F.col("n") / V.BUCKET))
     items = rows.join(grid, "grid").withColumn("chunk", F.pmod(F.xxhash64("vec_id", "embedding"), F.col("chunks")).cast("int"))
-    asked = V.queries_of(rows.select("vec_id", "embedding", "norm"), every)
+    asked = V.queries_of(rows.select("vec_id", "embedding", "norm", "grid"), every)
     count = asked.count()
     if not count:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    asked = asked.withColumns({"block": V.block_of(count), "query": F.xxhash64("embedding")})
+    # blocks of queries of like norms: the grid's counts say where a norm's queries begin, a hash spreads them from there
+    held = asked.groupBy("grid").agg(F.count("*").alias("held"))
+    held = held.withColumn("before", F.sum("held").over(Window.orderBy("grid").rowsBetween(Window.unboundedPreceding, 0)) - F.col("held"))
+    place = F.col("before") + F.pmod(F.xxhash64("vec_id", "embedding"), F.col("held"))
+    asked = asked.join(held, "grid").withColumns({"block": F.floor(place / V.BLOCK).cast("int"), "query": F.xxhash64("embedding")}).drop("grid", "held", "before")
     top = grid.where(F.col("n") > k).orderBy(F.col("grid").desc()).limit(1).first() or grid.orderBy(F.col("grid").desc()).first()
     first = (F.col("grid") == top["grid"]) & (F.col("chunk") == 0)
     columns = ["vec_id", "embedding", "grid", "chunk"]

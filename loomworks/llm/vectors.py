@@ -55,11 +55,6 @@ def units(queries: DataFrame, items: DataFrame, bucket: list[str], block: str =
     return items.unionByName(asked, allowMissingColumns=True)
 
 
-def block_of(count: int) -> Column:
-    """Which block of the `count` queries a query (vec_id, embedding) is in."""
-    return F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(buckets_for(count, BLOCK))).cast("int")
-
-
 def all_blocks(count: int) -> Column:
     return F.sequence(F.lit(0), F.lit(buckets_for(count, BLOCK) - 1))
 
