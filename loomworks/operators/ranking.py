@@ -32,8 +32,24 @@ def numbered(df: DataFrame, to: str, *order: str | Column) -> DataFrame:
 
 
 def first_of(df: DataFrame, n: int, *order: str | Column) -> DataFrame:
-    """The first n rows by `order`, cut exactly."""
-    return numbered(df, "_place", *order).where(F.col("_place") < n).drop("_place")
+    """The first n rows by `order` (ascending), cut exactly; of rows that tie at the cut, any.
+
+    Only the columns of the order are sorted; the row at the cut is a literal in a filter on df, which no shuffle touches.
+    """
+    if n < 1:
+        return df.limit(0)
+    keys = [(F.col(o) if isinstance(o, str) else o).alias(f"_k{i}") for i, o in enumerate(order)]
+    slim = df.select(*keys)
+    placed = numbered(slim, "_place", *slim.columns)
+    last = placed.where(F.col("_place") == n - 1).first()
+    if last is None:
+        return df
+    cut = F.struct(*[F.lit(last[f.name]).cast(f.dataType).alias(f.name) for f in slim.schema])
+    mine, theirs = F.struct(*keys), F.struct(*slim.columns)
+    before, same = placed.agg(F.count_if(theirs < cut), F.count_if(theirs.eqNullSafe(cut))).first()
+    if before + same == n:
+        return df.where(mine <= cut)
+    return df.where(mine < cut).unionByName(df.where(mine.eqNullSafe(cut)).limit(n - before))
 
 
 def keep_best(df: DataFrame, ratio: float, *ties: str | Column, column: str = "ppl") -> DataFrame:

@@ -288,14 +288,20 @@ def test_calls_after_a_limit_run_in_many_tasks(spark):
 
 def test_ranked_cut_is_not_one_task(spark):
     rows = spark.range(0, 4000, 1, 8).select("id", F.when(F.col("id") % 3 != 0, F.col("id") % 5).alias("ppl"))
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     best = ranking.keep_best(rows, 0.5, "id")
-    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     want = sorted(((1e9 if i % 3 == 0 else i % 5), i) for i in range(4000))[:2000]
     assert {r.id for r in best.collect()} == {i for _, i in want}
     plan = best._jdf.queryExecution().executedPlan().toString()
-    assert "TakeOrdered" not in plan and "Limit" not in plan
-    assert len(best.inputFiles()) > 1  # the sorted table's ranges
+    assert not any(x in plan for x in ("TakeOrdered", "Limit", "Exchange", "Sort")) and best.rdd.getNumPartitions() == 8
+
+
+def test_cuts_among_ties_and_nulls(spark):
+    rows = spark.createDataFrame([(None, "a"), (None, "b"), (1.0, None), (1.0, "x"), (1.0, "x"), (1.0, "x"), (2.0, "z")], "v double, t string").repartition(3)
+    for n in range(9):
+        got = sorted(((r.v is not None, r.v or 0.0), (r.t is not None, r.t or "")) for r in ranking.first_of(rows, n, "v", "t").collect())
+        every = sorted(((r.v is not None, r.v or 0.0), (r.t is not None, r.t or "")) for r in rows.collect())
+        assert got == every[:n]
+    assert ranking.first_of(rows, 3, F.coalesce("v", F.lit(9.0))).count() == 3
 
 
 def test_an_answer_that_most_rows_have(spark):
