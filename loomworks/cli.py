@@ -48,7 +48,7 @@ def handlers(folder: str | None, task: str) -> list[logging.Handler]:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
-    logging.basicConfig(level=args.log_level, handlers=handlers(args.log_dir, args.command), force=True)
+    logging.basicConfig(level=args.log_level, handlers=handlers(args.log_dir, args.command), force=bool(args.log_dir))
     config = Config.from_files(*args.config)
     logging.info("%s with %s", args.command, args.config or "no configuration")
     spark = spark or SparkSession.builder.appName("loomworks").getOrCreate()
