@@ -60,9 +60,25 @@ class Encoder:
         return self.fast.encode_ordinary(text)
 
 
+def id_type(path: str) -> str:
+    """The narrowest type that all ids of a tokenizer fit in: what pieces are written and sent in."""
+    with open(path, encoding="utf-8") as f:
+        held = json.load(f)
+    most = max([END, *held["model"]["vocab"].values(), *(t["id"] for t in held.get("added_tokens", []))])
+    return "<u2" if most < 1 << 16 else "<u4"
+
+
+def _unpack(batches, width: str):
+    """Ids as lists again."""
+    for batch in batches:
+        value, size = W.flat(batch["ids"], np.dtype(width))
+        ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(value.astype(np.int32)))
+        yield batch.set_column(batch.schema.get_field_index("ids"), "ids", ids)
+
+
 def _tokenize(batches, files: tuple, capacity: int, with_ids: bool):
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("key", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids)
-    encode = Encoder(*files)
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("key", pa.int64())] + [("ids", pa.binary())] * with_ids)
+    encode, width = Encoder(*files), id_type(files[0])
 
     def flush():
         arrays = [pa.array(rows[f.name], f.type) for f in schema]
@@ -81,7 +97,7 @@ def _tokenize(batches, files: tuple, capacity: int, with_ids: bool):
                 for name, x in zip(rows, (doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), key)):
                     rows[name].append(x)
                 if with_ids:
-                    rows["ids"].append(piece.astype(np.int32))
+                    rows["ids"].append(piece.astype(width).tobytes())
             if len(rows["start"]) >= 10_000:
                 yield flush()
         W.release()
@@ -241,7 +257,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, ranks: str | N
 
         tokenizer, ranks, pattern = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     files = (tokenizer, ranks, pattern)
-    columns = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, key long" + ", ids array<int>" * with_ids
+    columns = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, key long" + ", ids binary" * with_ids
     # repeated rows get keys of their own; the pieces are written before any key is used
     texts = docs.select("doc_id", F.xxhash64(F.lit(7), "doc_id", "text", F.monotonically_increasing_id()).alias("key"), "text")
     pieces = table(texts.mapInArrow(lambda it: _tokenize(it, files, capacity, with_ids), columns), "pieces")
@@ -256,4 +272,9 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, ranks: str | N
     placed = placed.withColumn("_r", spot).withColumn("_n", F.col("rank") - F.col("_r.first"))
     sequence = F.col("_r.sequence") + F.floor(F.col("_n") / F.col("_r.each"))
     offset = F.col("_r.at") + F.pmod(F.col("_n"), F.col("_r.each")) * F.col("length")
-    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"), *["ids"] * with_ids)
+    placed = placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"), *["ids"] * with_ids)
+    if not with_ids:
+        return placed
+    width = id_type(tokenizer)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString() if f.name != 'ids' else 'array<int>'}" for f in placed.schema)
+    return placed.mapInArrow(lambda it: _unpack(it, width), schema)
