@@ -617,6 +617,14 @@ def test_neighbours_agree_with_sql(spark):
     assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) == 50
 
 
+def test_searches_with_few_rows(spark):
+    """No queries, a query alone, and rows that repeat or share an id."""
+    for data, found in (([(1, [1.0, 2.0]), (2, [2.0, 1.0])], []), ([(50, [1.0, 2.0])], []), ([(50, [1.0, 2.0]), (50, [1.0, 2.0]), (50, [3.0, 2.0]), (7, [1.0, 2.0])], [(50, 1, 7), (50, 1, 7)])):
+        df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+        for search in (curves_ann.nearest, exact_topk.exact_topk):
+            assert [tuple(r)[:3] for r in search(df).collect()] == found
+
+
 def test_cosines_of_any_size():
     rng = np.random.default_rng(2)
     a, b = rng.standard_normal((2, 50, 9))
